@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from callgrid.llm import bpe, packing, quality, urlfilter
+from callgrid.llm import bpe, packing, quality, secrets, urlfilter
 from callgrid.llm.common import load
 
 
@@ -18,6 +18,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(load(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -26,5 +30,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_url_filter": op3_url_filter, "op4_bpe": op4_bpe, "op9_best_fit_packing": op9_best_fit_packing, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op3_url_filter": op3_url_filter, "op4_bpe": op4_bpe, "op5_secret_scan": op5_secret_scan, "op9_best_fit_packing": op9_best_fit_packing, "op10_quality_rules": op10_quality_rules}
 ORACLES = {"op3_url_filter": urlfilter.ORACLE, "op10_quality_rules": quality.ORACLE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from callgrid.llm import bpe, fingerprint, langid, linededup, minhash, packing, quality, secrets, urlfilter
+from callgrid.llm import bpe, fingerprint, langid, linededup, lmscore, minhash, packing, quality, secrets, urlfilter
 from callgrid.llm.common import load
 
 
@@ -35,6 +35,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs)
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score_documents(load(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_documents(load(spark, sf_dir, "documents")).drop("spans")
 
@@ -47,5 +51,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_fingerprint": op2_fingerprint, "op3_url_filter": op3_url_filter, "op4_bpe": op4_bpe, "op5_secret_scan": op5_secret_scan, "op6_line_dedup": op6_line_dedup, "op8_language_id": op8_language_id, "op9_best_fit_packing": op9_best_fit_packing, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_minhash": op1_minhash, "op2_fingerprint": op2_fingerprint, "op3_url_filter": op3_url_filter, "op4_bpe": op4_bpe, "op5_secret_scan": op5_secret_scan, "op6_line_dedup": op6_line_dedup, "op7_lm_score": op7_lm_score, "op8_language_id": op8_language_id, "op9_best_fit_packing": op9_best_fit_packing, "op10_quality_rules": op10_quality_rules}
 ORACLES = {"op1_minhash": minhash.ORACLE, "op3_url_filter": urlfilter.ORACLE, "op10_quality_rules": quality.ORACLE}

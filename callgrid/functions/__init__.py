@@ -1 +1 @@
-"""See the package docstring."""
+"""Column functions: `native` stays in the JVM, `vectorized` runs over Arrow batches."""

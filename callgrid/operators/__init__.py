@@ -1 +1 @@
-"""See the package docstring."""
+"""DataFrame operators and the registered queries."""

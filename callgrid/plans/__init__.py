@@ -1 +1,5 @@
-"""See the package docstring."""
+"""The dial plan: numbering rules of regions and of codes without a region."""
+
+from callgrid.plans.loader import Plan, default_plan
+
+__all__ = ["Plan", "default_plan"]

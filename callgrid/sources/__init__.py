@@ -1 +1 @@
-"""See the package docstring."""
+"""Where numbers come from: keys, running text and files."""

@@ -1 +1 @@
-"""See the package docstring."""
+"""Stateful operators on streams of numbers."""

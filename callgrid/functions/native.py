@@ -171,18 +171,19 @@ def _extension(ext: Column, label: Column) -> Column:
     return F.when(F.coalesce(ext, F.lit("")) != "", F.concat(label, ext)).otherwise("")
 
 
-def national(nsn: Column, formats: Column, ext: Column, label: Column) -> Column:
-    return F.concat(written(nsn, chosen_format(nsn, formats), "national"), _extension(ext, F.coalesce(label, F.lit(T.DEFAULT_EXT))))
+def national(body: Column, nsn: Column, ext: Column, label: Column) -> Column:
+    """body: the national format, null where the calling code is unknown."""
+    return F.when(body.isNull(), nsn).otherwise(F.concat(body, _extension(ext, F.coalesce(label, F.lit(T.DEFAULT_EXT)))))
 
 
-def international(cc: Column, nsn: Column, formats: Column, ext: Column, label: Column) -> Column:
-    body = F.concat(F.lit("+"), cc.cast("string"), F.lit(" "), written(nsn, chosen_format(nsn, formats), "plain"), _extension(ext, F.coalesce(label, F.lit(T.DEFAULT_EXT))))
-    return F.when(formats.isNull(), nsn).otherwise(body)
+def international(cc: Column, body: Column, nsn: Column, ext: Column, label: Column) -> Column:
+    out = F.concat(F.lit("+"), cc.cast("string"), F.lit(" "), body, _extension(ext, F.coalesce(label, F.lit(T.DEFAULT_EXT))))
+    return F.when(body.isNull(), nsn).otherwise(out)
 
 
-def rfc3966(cc: Column, nsn: Column, formats: Column, ext: Column) -> Column:
-    dashed = F.regexp_replace(F.regexp_replace(written(nsn, chosen_format(nsn, formats), "plain"), rf"^[{T.PUNCTUATION}]+", ""), rf"[{T.PUNCTUATION}]+", "-")
-    return F.when(formats.isNull(), nsn).otherwise(F.concat(F.lit("tel:+"), cc.cast("string"), F.lit("-"), dashed, _extension(ext, F.lit(T.RFC_EXT))))
+def rfc3966(cc: Column, body: Column, nsn: Column, ext: Column) -> Column:
+    dashed = F.regexp_replace(F.regexp_replace(body, rf"^[{T.PUNCTUATION}]+", ""), rf"[{T.PUNCTUATION}]+", "-")
+    return F.when(body.isNull(), nsn).otherwise(F.concat(F.lit("tel:+"), cc.cast("string"), F.lit("-"), dashed, _extension(ext, F.lit(T.RFC_EXT))))
 
 
 def destination_code_length(cc: Column, type_: Column, international: Column) -> Column:
@@ -198,11 +199,11 @@ def is_geographical(cc: Column, type_: Column) -> Column:
     return type_.isin("FIXED_LINE", "FIXED_LINE_OR_MOBILE") | ((type_ == "MOBILE") & cc.isin(*sorted(GEO_MOBILE)))
 
 
-def area_code_length(cc: Column, region: Column, type_: Column, italian_zero: Column, ndc: Column) -> Column:
-    """region: the struct of a geographic region, else null."""
-    no_prefix = region["national_prefix"].isNull() & ~F.coalesce(italian_zero, F.lit(False)) & ~cc.isin(*AREA_CODES_WITHOUT_PREFIX)
+def area_code_length(cc: Column, region: Column, national_prefix: Column, type_: Column, italian_zero: Column, ndc: Column) -> Column:
+    """region and national_prefix: of the number's region; null where there is none."""
+    no_prefix = national_prefix.isNull() & ~F.coalesce(italian_zero, F.lit(False)) & ~cc.isin(*AREA_CODES_WITHOUT_PREFIX)
     mobile = (type_ == "MOBILE") & cc.isin(*GEO_MOBILE_WITHOUT_AREA_CODE)
-    none = region.isNull() | (region["id"] == "001") | no_prefix | mobile | ~is_geographical(cc, type_)
+    none = region.isNull() | (region == "001") | no_prefix | mobile | ~is_geographical(cc, type_)
     return F.when(none, 0).otherwise(ndc)
 
 

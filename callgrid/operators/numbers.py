@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from callgrid.functions import compiled
 from callgrid.functions import native as N
 from callgrid.functions import vectorized as V
 from callgrid.plans import tables
@@ -22,43 +23,72 @@ def with_nsn(df: DataFrame) -> DataFrame:
     return df.withColumn("nsn", N.nsn(F.col("national_number"), F.col("zero"), F.col("zeros")))
 
 
+PLAN_COLUMNS = ("main_region", "regions", "national", "intl", "extn", "lengths", "locals")
+
+
 def with_plan(df: DataFrame, plan: Plan | None = None) -> DataFrame:
     """df with nsn and the plan columns of its calling code (null where it is unknown)."""
     codes = tables.codes(df.sparkSession, plan or default_plan())
     return with_nsn(df).join(F.broadcast(codes), "cc", "left")
 
 
+def _with_class(p: DataFrame, plan: Plan) -> DataFrame:
+    """p with _c: struct(region, type, barred, national_prefix), null where none claims it."""
+    cc, nsn = F.col("cc"), F.col("nsn")
+    if compiled.fits(plan):
+        return p.withColumn("_c", compiled.classified(cc, nsn, plan))
+    p = p.withColumn("_r", N.region_of(nsn, F.col("regions")))
+    r = F.col("_r")
+    barred = (r["id"] != "001") & N._holds(nsn, r["descs"], "no_international_dialling")
+    out = F.struct(r["id"].alias("region"), N.type_in(nsn, r).alias("type"), barred.alias("barred"), r["national_prefix"].alias("national_prefix"))
+    return p.withColumn("_c", F.when(r.isNotNull(), out)).drop("_r")
+
+
+def _with_bodies(p: DataFrame, plan: Plan) -> DataFrame:
+    """p with _nat and _int: the written number, null where the calling code is unknown."""
+    cc, nsn, known = F.col("cc"), F.col("nsn"), F.col("national").isNotNull()
+    if compiled.fits(plan):
+        # the place by literal patterns; only the chosen format's own pattern comes from the plan row
+        p = p.withColumns({"_n": compiled.national_place(cc, nsn, plan), "_i": compiled.plain_place(cc, nsn, plan)})
+        chosen = {"national": F.get("national", F.col("_n")), "intl": F.get("intl", F.col("_i"))}
+    else:
+        chosen = {k: N.chosen_format(nsn, F.col(k)) for k in ("national", "intl")}
+    body = lambda k, template: F.when(known, N.written(nsn, chosen[k], template))
+    return p.withColumns({"_nat": body("national", "national"), "_int": body("intl", "plain")}).drop("_n", "_i")
+
+
 def classify(df: DataFrame, plan: Plan | None = None) -> DataFrame:
     """df with nsn, number_region, number_type, is_valid, reason and dialled_abroad."""
-    plan_columns = ("main_region", "regions", "national", "intl", "extn", "lengths", "locals")
-    p = with_plan(df, plan).withColumn("_r", N.region_of(F.col("nsn"), F.col("regions")))
-    kind = F.when(F.col("_r").isNull(), "UNKNOWN").otherwise(N.type_in(F.col("nsn"), F.col("_r")))
-    p = p.withColumn("number_type", kind).withColumn("number_region", F.coalesce("_r.id", F.lit("ZZ"))).withColumn("is_valid", F.col("number_type") != "UNKNOWN")
-    p = p.withColumn("reason", N.possible_for(F.col("nsn"), F.col("lengths"), F.col("locals"), "UNKNOWN"))
-    barred = N._holds(F.col("nsn"), F.col("_r")["descs"], "no_international_dialling")
-    p = p.withColumn("dialled_abroad", ~(F.coalesce(F.col("_r.id") != "001", F.lit(False)) & barred))
-    return p.drop("_r", *plan_columns)
+    plan = plan or default_plan()
+    p = _with_class(with_plan(df, plan), plan)
+    p = p.withColumns({
+        "number_type": F.coalesce("_c.type", F.lit("UNKNOWN")), "number_region": F.coalesce("_c.region", F.lit("ZZ")), "is_valid": F.coalesce(F.col("_c.type") != "UNKNOWN", F.lit(False)),
+        "reason": N.possible_for(F.col("nsn"), F.col("lengths"), F.col("locals"), "UNKNOWN"), "dialled_abroad": ~F.coalesce("_c.barred", F.lit(False)),
+    })
+    return p.drop("_c", *PLAN_COLUMNS)
 
 
 def formats(df: DataFrame, plan: Plan | None = None) -> DataFrame:
     """df with nsn, e164, national_format, international_format and rfc3966_format."""
-    p = with_plan(df, plan)
+    plan = plan or default_plan()
+    p = _with_bodies(with_plan(df, plan), plan)
     cc, nsn, ext = F.col("cc"), F.col("nsn"), F.col("ext")
-    out = p.withColumn("e164", N.e164(cc, nsn))
-    out = out.withColumn("national_format", F.when(F.col("national").isNull(), nsn).otherwise(N.national(nsn, F.col("national"), ext, F.col("extn"))))
-    out = out.withColumn("international_format", N.international(cc, nsn, F.col("intl"), ext, F.col("extn")))
-    out = out.withColumn("rfc3966_format", N.rfc3966(cc, nsn, F.col("intl"), ext))
-    return out.drop("main_region", "regions", "national", "intl", "extn", "lengths", "locals")
+    out = p.withColumns({
+        "e164": N.e164(cc, nsn), "national_format": N.national(F.col("_nat"), nsn, ext, F.col("extn")),
+        "international_format": N.international(cc, F.col("_int"), nsn, ext, F.col("extn")), "rfc3966_format": N.rfc3966(cc, F.col("_int"), nsn, ext),
+    })
+    return out.drop("_nat", "_int", *PLAN_COLUMNS)
 
 
 def area_codes(df: DataFrame, plan: Plan | None = None) -> DataFrame:
     """df with nsn, number_type, ndc_length and area_code_length."""
-    p = with_plan(df, plan).withColumn("_r", N.region_of(F.col("nsn"), F.col("regions")))
+    plan = plan or default_plan()
+    p = _with_bodies(_with_class(with_plan(df, plan), plan), plan)
     cc, nsn, none = F.col("cc"), F.col("nsn"), F.lit(None).cast("string")
-    p = p.withColumn("number_type", F.when(F.col("_r").isNull(), "UNKNOWN").otherwise(N.type_in(nsn, F.col("_r"))))
-    p = p.withColumn("ndc_length", N.destination_code_length(cc, F.col("number_type"), N.international(cc, nsn, F.col("intl"), none, none)))
-    p = p.withColumn("area_code_length", N.area_code_length(cc, F.col("_r"), F.col("number_type"), F.col("zero"), F.col("ndc_length")))
-    return p.drop("_r", "main_region", "regions", "national", "intl", "extn", "lengths", "locals")
+    p = p.withColumn("number_type", F.coalesce("_c.type", F.lit("UNKNOWN")))
+    p = p.withColumn("ndc_length", N.destination_code_length(cc, F.col("number_type"), N.international(cc, F.col("_int"), nsn, none, none)))
+    p = p.withColumn("area_code_length", N.area_code_length(cc, F.col("_c.region"), F.col("_c.national_prefix"), F.col("number_type"), F.col("zero"), F.col("ndc_length")))
+    return p.drop("_c", "_nat", "_int", *PLAN_COLUMNS)
 
 
 def possible_by_type(df: DataFrame, kinds: tuple[str, ...], plan: Plan | None = None) -> DataFrame:
@@ -66,7 +96,7 @@ def possible_by_type(df: DataFrame, kinds: tuple[str, ...], plan: Plan | None =
     p = with_plan(df, plan)
     for k in kinds:
         p = p.withColumn(f"reason_{k.lower()}", N.possible_for(F.col("nsn"), F.col("lengths"), F.col("locals"), k))
-    return p.drop("main_region", "regions", "national", "intl", "extn", "lengths", "locals")
+    return p.drop(*PLAN_COLUMNS)
 
 
 def split_codes(df: DataFrame, digits: str, plan: Plan | None = None) -> DataFrame:

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from callgrid.llm.common import flat_text, slices
 from callgrid.llm.pretoken import LETTER, classes, span_hashes
@@ -217,7 +218,8 @@ def label_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     """docs' other columns with lang_pred, score and spans in place of the text."""
     others = [c for c in docs.columns if c not in (text_col, "lang_pred", "score", "spans")]
     picked = docs.select(*others, F.col(text_col).alias("_text"))
-    schema = docs.select(*others).schema.add("lang_pred", "string").add("score", "double").add("spans", "array<struct<start:int,end:int,lang:string>>")
+    more = StructType.fromDDL("lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>")
+    schema = StructType([*docs.select(*others).schema.fields, *more.fields])
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -175,6 +175,17 @@ def to_phone_of(call: Callable, phone: Column, plan: str | None = None) -> Colum
     return run(phone)
 
 
+def is_possible_text(raw: Column, region: Column, plan: str | None = None) -> Column:
+    """Whether a text is a possible number; false where it is none."""
+
+    @F.pandas_udf("boolean")
+    def run(raw: pd.Series, region: pd.Series) -> pd.Series:
+        ops = _phones(plan)
+        return pd.Series([ops.is_possible_text(_none(x) or "", _none(r)) for x, r in zip(raw, region, strict=True)], dtype=bool)
+
+    return run(raw, region)
+
+
 def match_texts(a: Column, b: Column, plan: str | None = None) -> Column:
     """How alike two texts are as numbers; null where one isn't a number."""
 

@@ -142,3 +142,13 @@ def leading_zeros(nsn: str) -> int | None:
         return None
     zeros = len(nsn) - len(nsn.lstrip("0"))
     return zeros - (zeros == len(nsn))
+
+
+def suits_as_you_type(template: str) -> bool:
+    """Whether a template holds groups and punctuation only."""
+    return AS_YOU_TYPE.fullmatch(template) is not None
+
+
+def first_group_only(rule: str) -> bool:
+    """Whether a prefix rule adds nothing but brackets to the first group."""
+    return rule == "" or regex.fullmatch(r"\(?\$1\)?", rule) is not None

@@ -357,6 +357,21 @@ def parsed_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("key", V.region(n).alias("number_region"), V.number_type(n).alias("number_type"), V.is_valid(n).alias("is_valid"), V.is_valid_for_region(n, F.lit("US")).alias("is_valid_us"), V.area_code_length(n).alias("area_code_length"), V.destination_code_length(n).alias("ndc_length"))
 
 
+@query()
+def possible_for_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).select("key", V.is_possible_text(F.col("raw"), F.col("region")).alias("possible"))
+
+
+@query()
+def format_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan's national templates: fit for as-you-type formatting, rule of the first group only."""
+    plan = default_plan()
+    rows = [(cc, i, f.format, f.national_prefix_rule) for cc in plan.by_code for i, f in enumerate(plan.main_record(cc).formats)]
+    t = spark.createDataFrame(rows, "cc int, place int, template string, rule string")
+    only = F.coalesce(F.col("rule"), F.lit("")).rlike(r"^(\(?\$1\)?)?\z")
+    return t.select("cc", "place", "template", F.col("template").rlike(rf"^(?:{T.AS_YOU_TYPE.pattern})\z").alias("as_you_type"), only.alias("first_group_only"))
+
+
 @query()
 def truncate_too_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _customers(spark, sf_dir)

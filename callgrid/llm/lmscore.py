@@ -207,7 +207,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 for a in range(0, len(tokens), BATCH):
                     target = tokens[a : a + BATCH]
                     p[a + 1 : a + 1 + len(target)] = log_probs(weights, around[:, a : a + BATCH], target)
-                # summed text by text, so that equal texts have equal scores
+                # summed text by text; single precision, so equal texts agree to about 1e-6
                 total = np.add.reduceat(np.append(p[1:], 0), np.minimum(first[:-1], len(tokens))) if len(first) > 1 else np.zeros(0)
                 n = np.diff(first)
                 total[n == 0] = 0

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from functools import cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,20 +48,40 @@ def as_dict(p: Phone | None) -> dict | None:
     return None if p is None else {k: getattr(p, k) for k in FIELDS}
 
 
-def parse(raw: Column, region: Column, keep_raw: bool = False, check_region: bool = True, plan: str | None = None) -> Column:
-    """The struct PARSED of a text dialled in a region."""
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+_TYPES = dict(zip(FIELDS, map(_ARROW.get, ("int", "bigint", "string", "boolean", "int", "string", "string", "string")), strict=True))
 
-    @F.pandas_udf(PARSED)
-    def run(raw: pd.Series, region: pd.Series) -> pd.DataFrame:
-        ops, seen, out = _phones(plan), {}, []
-        for key in zip(raw, region, strict=True):
-            if key not in seen:
-                p, error, detail = ops.try_parse(_none(key[0]), _none(key[1]), keep_raw=keep_raw, check_region=check_region)
-                seen[key] = {"ok": p is not None, "error": error, "error_detail": detail, "phone": as_dict(p)}
-            out.append(seen[key])
-        return pd.DataFrame(out, columns=["ok", "error", "error_detail", "phone"])
 
-    return run(raw, region)
+def phone_array(phones: list[Phone | None]) -> pa.StructArray:
+    """Phone structs, column by column."""
+    cols = [pa.array([None if p is None else getattr(p, k) for p in phones], t) for k, t in _TYPES.items()]
+    return pa.StructArray.from_arrays(cols, names=list(FIELDS), mask=pa.array([p is None for p in phones], pa.bool_()))
+
+
+def parsed_array(found: list[tuple[Phone | None, str | None, str | None]]) -> pa.StructArray:
+    """PARSED structs of (phone, error, detail)."""
+    ok = pa.array([f[0] is not None for f in found], pa.bool_())
+    error, detail = (pa.array([f[k] for f in found], pa.string()) for k in (1, 2))
+    return pa.StructArray.from_arrays([ok, error, detail, phone_array([f[0] for f in found])], names=["ok", "error", "error_detail", "phone"])
+
+
+def _parsed(plan: str | None, keep_raw: bool, check_region: bool) -> Callable:
+    @F.arrow_udf(PARSED)
+    def run(raw: pa.Array, region: pa.Array) -> pa.Array:
+        parse, seen, out = _phones(plan).try_parse, {}, []
+        for key in zip(raw.to_pylist(), region.to_pylist(), strict=True):
+            got = seen.get(key)
+            if got is None:
+                got = seen[key] = parse(*key, keep_raw=keep_raw, check_region=check_region)
+            out.append(got)
+        return parsed_array(out)
+
+    return run
+
+
+def parse(raw: Column, region: Column, keep_raw: bool = False, check_region: bool = True, plan: str | None = None) -> Column:
+    """The struct PARSED of a text dialled in a region."""
+    return _parsed(plan, keep_raw, check_region)(raw, region)
 
 
 def _frame(phones: pd.DataFrame) -> list[Phone | None]:
@@ -233,15 +254,7 @@ def register(spark: SparkSession, plan: str | None = None) -> None:
 
         return run
 
-    @F.pandas_udf(PARSED)
-    def parsed(raw: pd.Series, region: pd.Series) -> pd.DataFrame:
-        ops, out = _phones(plan), []
-        for x, r in zip(raw, region, strict=True):
-            p, error, detail = ops.try_parse(_none(x), _none(r))
-            out.append({"ok": p is not None, "error": error, "error_detail": detail, "phone": as_dict(p)})
-        return pd.DataFrame(out, columns=["ok", "error", "error_detail", "phone"])
-
-    spark.udf.register("phone_parse", parsed)
+    spark.udf.register("phone_parse", _parsed(plan, False, True))
     spark.udf.register("phone_e164", text(lambda o, p: o.format(p, "E164"), "string"))
     spark.udf.register("phone_is_valid", text(lambda o, p: o.is_valid(p), "boolean"))
     spark.udf.register("phone_type", text(lambda o, p: o.type(p), "string"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import regex
@@ -65,10 +66,13 @@ _GROUPING = (
 _DIALLABLE = set("0123456789+*#")
 
 
+_NOT_DIGIT = re.compile("[^0-9]+")
+
+
 def digits_only(s: str) -> str:
     """Decimal digits of any script as ASCII; everything else goes."""
     if s.isascii():
-        return "".join(c for c in s if "0" <= c <= "9")
+        return _NOT_DIGIT.sub("", s)
     return "".join(str(unicodedata.decimal(c)) for c in s if unicodedata.decimal(c, None) is not None)
 
 
@@ -115,6 +119,16 @@ def trim_end(s: str) -> str:
     return UNWANTED_END.sub("", s)
 
 
+_PLAIN = re.compile(r"[ ().\-]*(\+?(?:[ ().\-]*[0-9]){3,})[ ().\-]*")
+
+
+def plain_number(s: str) -> str | None:
+    """The number in a text of a plus, digits, spaces, dots, dashes and brackets alone: it
+    is viable and has no extension, context or second number. None for other texts."""
+    m = _PLAIN.fullmatch(s)
+    return m[1] if m else None
+
+
 def possible_number(s: str) -> str | None:
     """From the first plus or digit, without unwanted end characters and without a second
     number; None if there is no start."""

@@ -127,3 +127,14 @@ def test_examples_and_round_trip():
     assert P.example_non_geo(979) is not None and P.example_of_type("SHARED_COST") is not None and P.example("ZZ") is None
     assert plan.by_code[1][0] == "US" and set(plan.by_code[1]) == plan.nanpa == {"US", "BB", "BS", "CA"}
     assert P.supported_types(plan.regions["BR"]) and P.ndd("AO") == "00" and P.ndd("ZZ") is None
+
+
+def test_plain_texts_take_the_same_way():
+    import random
+
+    r = random.Random(1)
+    for _ in range(4000):
+        s = "".join(r.choice("++0123456789 ().-x#~") for _ in range(r.randrange(0, 14)))
+        plain = T.plain_number(s)
+        if plain is not None:
+            assert plain == T.possible_number(s) and T.is_viable(plain) and T.split_extension(plain) == (plain, None), s

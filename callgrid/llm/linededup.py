@@ -148,6 +148,8 @@ def deletions(docs: DataFrame, scratch: Scratch) -> DataFrame:
     lines = scratch.keep(docs.mapInArrow(_lined, LINES), "lines")
     picks = lines.select("doc_id", "th", F.size("h").alias("n"), F.explode(F.arrays_zip("keys", "at")).alias("p")).select("doc_id", "th", "n", F.col("p.keys").alias("key"), F.col("p.at").alias("at"))
     firsts = picks.groupBy("key").agg(F.min(F.struct("doc_id", "th", "at")).alias("f"), F.max(F.struct("doc_id", "th", "at")).alias("l")).where("f <> l").select("key", "f")
+    # kept apart, so that Spark can split a frequent hash in the join
+    firsts = scratch.keep(firsts, "firsts")
     met = picks.join(firsts, "key").where("struct(doc_id, th, at) > f")
     # documents that meet at an offset: line x of the later one faces line x - off of the earlier
     met = met.select("doc_id", "th", "n", F.col("f.doc_id").alias("src"), F.col("f.th").alias("src_th"), (F.col("at") - F.col("f.at")).alias("off")).distinct()
@@ -193,8 +195,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = docs.drop("n_lines_removed", "n_words_removed")
     th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     gone = scratch.keep(deletions(docs.select(F.col(id_col).cast("long").alias("doc_id"), th.alias("th"), F.col(text_col).alias("text")), scratch), "gone")
-    gone = gone.select(F.col("doc_id").alias("_g_id"), F.col("th").alias("_g_th"), F.col("gone").alias("_gone"))
-    found = docs.withColumn("_th", th).join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_g_id")) & (F.col("_th") == F.col("_g_th")), "left").drop("_th", "_g_id", "_g_th")
+    # names that no caller's column has
+    own = {k: f"__line_dedup_{k}" for k in ("hash", "id", "th", "gone")}
+    gone = gone.select(F.col("doc_id").alias(own["id"]), F.col("th").alias(own["th"]), F.col("gone").alias(own["gone"]))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(own["id"])) & (F.col(own["hash"]) == F.col(own["th"]))
+    # a merge join at every size: the deletions grow with the documents
+    found = docs.withColumn(own["hash"], th).join(gone.hint("merge"), same, "left").drop(own["hash"], own["id"], own["th"])
     names, at = docs.columns, docs.columns.index(text_col)
     schema = docs.schema.add("n_lines_removed", "long").add("n_words_removed", "long")
 

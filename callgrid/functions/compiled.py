@@ -73,7 +73,10 @@ def classified(cc: Column, nsn: Column, plan: Plan) -> Column:
                 claims = nsn.rlike(start(r.leading_digits)) | claims
             out = F.when(claims, x) if out is None else out.when(claims, x)
         found[code] = out
-    return _by_code(cc, found)
+    # A higher-order function is evaluated outside whole-stage code. With it the projection
+    # leaves that, and Spark splits the CASE into methods small enough to be optimized.
+    known = F.exists(F.array(cc), lambda c: c.isNotNull())
+    return F.when(known, _by_code(cc, found))
 
 
 def _chosen(nsn: Column, formats) -> Column:

@@ -39,7 +39,6 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/callgrid-{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write df once and return it as read back, so that its lineage ends here."""
@@ -47,7 +46,6 @@ class Scratch:
         path = f"{self.root}/{self.n:03d}-{name}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 

@@ -180,6 +180,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     band = lambda k: F.struct(F.lit(k).alias("band"), F.xxhash64(F.lit(k), F.substring("sig", 1 + 4 * ROWS * k, 4 * ROWS)).alias("h"))
     members = classes.select("id", "n", F.explode(F.array(*map(band, range(BANDS)))).alias("b")).select("id", "n", "b.band", "b.h")
     hubs = members.groupBy("band", "h").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("last")).where("hub.id < last")
+    # kept apart, so that Spark can split a frequent bucket in the join
+    hubs = scratch.keep(hubs, "hubs")
     members = scratch.keep(members.join(hubs.select("band", "h", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), ["band", "h"]), "members")
     pairs = members.where(f"id <> hub and 100 * least(n, hub_n) >= {PERCENT} * greatest(n, hub_n)").select("id", "hub", "n", "hub_n").distinct()
     sigs = classes.select("id", "sig")
@@ -198,7 +200,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = members.select("band", "h", "id", "n").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = at.groupBy("band", "h").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("c"), F.sum("n").alias("s")).where("a < b")
     chunks = F.ceil(F.greatest(F.col("c") / CHUNK_ROWS, F.col("s") / CHUNK_SHINGLES)).cast("int")
-    at = at.join(split.select("band", "h", chunks.alias("chunks")), ["band", "h"])
+    split = scratch.keep(split.select("band", "h", chunks.alias("chunks")), "split")
+    at = at.join(split, ["band", "h"])
     at = at.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     at = at.select("band", "h", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "id", "component")
@@ -215,18 +218,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _bounded(ids: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast while it is small; else joined by a merge."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+
+
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of docs whose id is wanted."""
-    few = wanted.count() <= BROADCAST_IDS
-    ids = wanted.select(F.col("id").alias("doc_id"))
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return docs.join(_bounded(wanted).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, without the near copies of an earlier document."""
     judged = near_duplicates(docs, id_col, text_col)
-    gone = judged.where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    gone = Scratch(docs.sparkSession).keep(judged.where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
+    return docs.join(_bounded(gone), id_col, "left_anti")
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -63,3 +64,33 @@ def test_gradient_lowers_the_loss():
     for _ in range(20):
         t.batch(around, tokens)
     assert lm.log_probs(t.w, around, tokens).mean() > before + 1 and r is not None
+
+
+def test_words_of_a_class_differ(spark, monkeypatch):
+    """Every word has its own probability: a softmax in two levels, by brute force."""
+    r = random.Random(5)
+    common = [f"c{i}" for i in range(lm.FREQUENT)]
+    others = [f"{x}{y}ing" for x in "abcdefgh" for y in "stuvw"]
+    rows = [(i, " ".join(r.choice(common) if r.random() < 0.9 else others[min(int(r.expovariate(0.2)), 39)] for _ in range(200))) for i in range(60)]
+    rows += [(100, " ".join([*common[:3], "Asing", *common[3:6]])), (101, " ".join([*common[:3], "oddling", *common[3:6]])), (102, None), (103, "i"), (104, "I")]
+    words = [[w.lower() for w in (t or "").split()] for _, t in rows]
+    n = Counter(w for x in words for w in x)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    vocab, _ = lm.vocabulary(lm.count_words(df.select("text")))
+    weights = lm.train(df.select("text"), vocab)
+    flat = lambda t: (np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+    of = {w: int(vocab.tokens(*flat(w))[0][0]) for w in n}
+    totals = Counter()
+    for w, k in n.items():
+        totals[of[w]] += k
+    want = {}
+    for (i, t), x in zip(rows, words, strict=True):
+        tokens, first = vocab.tokens(*flat(t or ""))
+        assert tokens.tolist() == [of[w] for w in x]
+        p = lm.log_probs(weights, lm.windows(tokens, first), tokens).sum() if x else 0
+        want[i] = p + sum(np.log(n[w] / totals[of[w]]) for w in x)
+    for top in (lm.TOP, 20, 0):  # counts from the broadcast, from both, and from the join
+        monkeypatch.setattr(lm, "TOP", top)
+        got = {x.doc_id: x.log_prob for x in lm.score_documents(df).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-2 for i in want), top
+        assert got[101] < got[100] - 2 and got[103] == got[104]

@@ -2,9 +2,9 @@
 
 1. A document's set: the distinct hashes (64 bits) of its 5-word shingles. Equal sets form
    a class, named by its least doc_id; only classes go on, so copies cost nothing later.
-2. Signatures: HASHES minima under universal hashes (multiply, add, keep the high bits).
-   BANDS bands of ROWS minima: a pair at 0.85 meets in none of them with a chance of
-   (1 - 0.85 ** ROWS) ** BANDS, about 2e-6.
+2. Signatures: minima under universal hashes (multiply, add, keep the high bits), in bands
+   of ROWS minima, as many that a pair at the threshold p meets in none of them with a chance
+   (1 - p ** ROWS) ** bands of at most MISS: 18 bands at 0.85, 25 at 0.80.
 3. Star links: every member of a bucket is compared with the bucket's least member only;
    signatures that agree too little (SLACK standard errors) go no further, the others are
    confirmed on the full sets. Components of these links: alternating stars.
@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,19 +39,27 @@ from callgrid.llm.common import Scratch, flat_text, mix64, slices, word_hashes
 from callgrid.llm.components import components
 
 SHINGLE_WORDS = 5
-#: Links: 100 * common >= PERCENT * union.
-PERCENT = 85
-BANDS, ROWS = 18, 4
-HASHES = BANDS * ROWS
+#: Links: 100 * common >= percent * union; PERCENT for op1_minhash, STAGE_PERCENT where
+#: near copies are removed.
+PERCENT, STAGE_PERCENT = 85, 80
+ROWS = 4
+MISS = 2e-6
 SLACK = 6
 CHUNK_ROWS = 256
 CHUNK_SHINGLES = 400_000
 #: Candidate ids are broadcast to the scan of the texts while they are at most so many.
 BROADCAST_IDS = 200_000
 
-_RNG = np.random.default_rng(20_240_501)
-_MULTIPLY = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2)
+
+def bands(percent: int) -> int:
+    p = (percent / 100) ** ROWS
+    return math.ceil(math.log(MISS) / math.log1p(-p)) if p < 1 else 1
+
+
+def universal(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(multiply, add) of so many hashes."""
+    r = np.random.default_rng(20_240_501)
+    return tuple(r.integers(0, 1 << 63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(odd) for odd in (1, 0))
 
 
 def shingle_sets(flat: np.ndarray, offsets: np.ndarray, k: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
@@ -76,17 +85,18 @@ def shingle_sets(flat: np.ndarray, offsets: np.ndarray, k: int = SHINGLE_WORDS)
             yield np.zeros(0, np.uint64)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
+def signature(s: np.ndarray, multiply: np.ndarray, add: np.ndarray) -> np.ndarray:
     """The minima, as 32-bit numbers, of a non-empty set."""
-    least = np.full(HASHES, ~np.uint64(0))
+    least = np.full(len(multiply), ~np.uint64(0))
     for i in range(0, len(s), 512):
-        part = s[None, i : i + 512] * _MULTIPLY[:, None]
-        part += _ADD[:, None]
+        part = s[None, i : i + 512] * multiply[:, None]
+        part += add[:, None]
         np.minimum(least, part.min(axis=1), out=least)
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(hashes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    by = universal(hashes)
     for batch in batches:
         flat, offsets = flat_text(batch.column(1))
         for i, j in slices(offsets):
@@ -94,7 +104,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in shingle_sets(flat, offsets[i : j + 1]):
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sig.append(signature(s).tobytes() if len(s) else None)
+                sig.append(signature(s, *by).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "digest", "sig"])
 
 
@@ -108,10 +118,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.ListArray.from_arrays(pa.array(stops, pa.int32()), values)], names=["id", "shingles"])
 
 
-def _least_agreement() -> int:
+def _least_agreement(percent: int) -> int:
     """Equal minima that a pair at the threshold has but for SLACK standard errors."""
-    p = PERCENT / 100
-    return max(1, math.floor(HASHES * p - SLACK * math.sqrt(HASHES * p * (1 - p))))
+    p, hashes = percent / 100, bands(percent) * ROWS
+    return max(1, math.floor(hashes * p - SLACK * math.sqrt(hashes * p * (1 - p))))
 
 
 def common_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -134,7 +144,7 @@ def common_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def _joining_links(table: pa.Table) -> pa.Table:
+def _joining_links(percent: int, table: pa.Table) -> pa.Table:
     """Of the members (id, component, shingles) of a pair of chunks: links (u, v) that
     join components, as few as that takes."""
     ids, comp = table["id"].to_numpy(), table["component"].to_numpy()
@@ -146,7 +156,7 @@ def _joining_links(table: pa.Table) -> pa.Table:
     sets = [values[a:b] for a, b in zip(offs, offs[1:], strict=False)]
     n = np.array(list(map(len, sets)))
     common = common_counts(sets)
-    linked = (100 * common >= PERCENT * (n[:, None] + n[None, :] - common)) & (comp[:, None] != comp[None, :])
+    linked = _is_linked(percent, common, n[:, None], n[None, :]) & (comp[:, None] != comp[None, :])
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -164,36 +174,37 @@ def _joining_links(table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def _is_linked(common, n, m):
-    return 100 * common >= PERCENT * (n + m - common)
+def _is_linked(percent: int, common, n, m):
+    return 100 * common >= percent * (n + m - common)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs; linked from percent on."""
+    hashes = bands(percent) * ROWS
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = scratch.keep(docs.mapInArrow(_signed, "doc_id long, n_shingles long, digest binary, sig binary"), "signed")
+    signed = scratch.keep(docs.mapInArrow(partial(_signed, hashes), "doc_id long, n_shingles long, digest binary, sig binary"), "signed")
     named = signed.where("doc_id is not null and digest is not null")
     classes = scratch.keep(named.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x")).select(F.col("x.doc_id").alias("id"), F.col("x.n_shingles").alias("n"), "x.sig", "digest"), "classes")
 
     # buckets of two or more classes, and each member's link with the least of its bucket
     band = lambda k: F.struct(F.lit(k).alias("band"), F.xxhash64(F.lit(k), F.substring("sig", 1 + 4 * ROWS * k, 4 * ROWS)).alias("h"))
-    members = classes.select("id", "n", F.explode(F.array(*map(band, range(BANDS)))).alias("b")).select("id", "n", "b.band", "b.h")
+    members = classes.select("id", "n", F.explode(F.array(*map(band, range(bands(percent))))).alias("b")).select("id", "n", "b.band", "b.h")
     hubs = members.groupBy("band", "h").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("last")).where("hub.id < last")
     # kept apart, so that Spark can split a frequent bucket in the join
     hubs = scratch.keep(hubs, "hubs")
     members = scratch.keep(members.join(hubs.select("band", "h", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), ["band", "h"]), "members")
-    pairs = members.where(f"id <> hub and 100 * least(n, hub_n) >= {PERCENT} * greatest(n, hub_n)").select("id", "hub", "n", "hub_n").distinct()
+    pairs = members.where(f"id <> hub and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select("id", "hub", "n", "hub_n").distinct()
     sigs = classes.select("id", "sig")
     pairs = pairs.join(sigs, "id").join(sigs.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-    agree = sum((F.substring("sig", 1 + 4 * k, 4) == F.substring("hub_sig", 1 + 4 * k, 4)).cast("int") for k in range(HASHES))
-    pairs = pairs.where(agree >= _least_agreement()).select("id", "hub", "n", "hub_n")
+    agree = sum((F.substring("sig", 1 + 4 * k, 4) == F.substring("hub_sig", 1 + 4 * k, 4)).cast("int") for k in range(hashes))
+    pairs = pairs.where(agree >= _least_agreement(percent)).select("id", "hub", "n", "hub_n")
 
     wanted = scratch.keep(members.select("id").distinct(), "wanted")
     sets = scratch.keep(_texts_of(docs, wanted).mapInArrow(_sets, "id long, shingles array<long>"), "sets")
     full = pairs.join(sets, "id").join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("hub_set")), "hub")
     common = F.size(F.array_intersect("shingles", "hub_set"))
-    stars = full.where(_is_linked(common, F.size("shingles"), F.size("hub_set"))).select(F.col("id").alias("u"), F.col("hub").alias("v"))
+    stars = full.where(_is_linked(percent, common, F.size("shingles"), F.size("hub_set"))).select(F.col("id").alias("u"), F.col("hub").alias("v"))
     first = scratch.keep(components(stars, scratch), "first")
 
     # buckets that still hold several components: all pairs of chunks, counted in blocks
@@ -205,7 +216,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = at.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     at = at.select("band", "h", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "id", "component")
-    more = at.join(sets, "id").groupBy("band", "h", "i", "j").applyInArrow(_joining_links, "u long, v long")
+    def joining(table: pa.Table) -> pa.Table:
+        return _joining_links(percent, table)
+
+    more = at.join(sets, "id").groupBy("band", "h", "i", "j").applyInArrow(joining, "u long, v long")
     # a doc_id on rows of several classes joins them
     twice = named.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id")
     same = named.join(twice, "doc_id").join(classes.select("digest", "id"), "digest").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
@@ -228,9 +242,9 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(_bounded(wanted).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = STAGE_PERCENT) -> DataFrame:
     """The rows of docs, all columns, without the near copies of an earlier document."""
-    judged = near_duplicates(docs, id_col, text_col)
+    judged = near_duplicates(docs, id_col, text_col, percent)
     gone = Scratch(docs.sparkSession).keep(judged.where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
     return docs.join(_bounded(gone), id_col, "left_anti")
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import corpus_pipeline
 from callgrid.llm import minhash
 
 
@@ -76,3 +77,18 @@ def test_long_text(spark):
     df = spark.createDataFrame([(1, text), (2, text + " end")], "doc_id long, text string")
     got = {r.doc_id: r for r in minhash.near_duplicates(df).collect()}
     assert got[2].component_id == 1 and got[1].n_shingles == len(shingles(text))
+
+
+def test_stage_removes_copies_from_80_percent(spark):
+    """A pair at 0.82: apart for op1, one of it goes in the stage; a pair under 0.8 stays."""
+    rows = []
+    for k in range(40):
+        base = [f"w{k}x{i}" for i in range(104)]  # 100 shingles
+        rows += [(3 * k, " ".join(base)), (3 * k + 1, " ".join(base[:-10] + [f"n{k}x{i}" for i in range(10)])), (3 * k + 2, " ".join(base[:-13] + [f"m{k}x{i}" for i in range(13)]))]
+    sets = [shingles(t) for _, t in rows[:3]]
+    near = [len(sets[0] & s) / len(sets[0] | s) for s in sets[1:]]
+    assert 0.81 < near[0] < 0.83 and near[1] < 0.8 and len(sets[1] & sets[2]) / len(sets[1] | sets[2]) < 0.8
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.kept for r in minhash.near_duplicates(df).collect())
+    assert {r.doc_id for r in minhash.keep_one_of_each(df).collect()} == {i for i, _ in rows if i % 3 != 1}
+    assert [r.doc_id for r in corpus_pipeline.dedup_documents(spark, df.where("doc_id < 3"), "").orderBy("doc_id").collect()] == [0, 2]

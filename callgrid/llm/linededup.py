@@ -16,6 +16,13 @@ the spans that the selection guarantees and whatever else it shares with the pla
 those occurred first; lines of fewer words around them can stay. A single line
 of RUN_WORDS words is a run of its own: every later copy of it is deleted.
 
+With whole_runs, as op6_line_dedup and the pipeline run it, nothing of a repeated run stays
+behind: at each line begins, and ends, a run of the fewest whole lines that hold RUN_WORDS
+words; every such run of the given text is joined with its first occurrence, and all its later
+places are deleted too. So of two texts that share RUN_WORDS words in whole lines the later one
+loses them all, whatever stands in other documents. What is deleted stands at an earlier place
+that stays.
+
 Frequent lines: hashes are counted before the shuffle and joined with one first occurrence
 each, never with one another, so the rows grow with the input; documents meet at an offset
 once however many spans they share; of the earlier document only the lines that can face
@@ -75,6 +82,30 @@ def _line_table(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return run_hashes(text, a, b), w[full], number[full], np.searchsorted(owner[full], np.arange(len(per) + 1))
 
 
+def _range_keys(h: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of the ranges of lines begin:stop."""
+    up = np.uint64(0x9E3779B97F4A7C15)
+    key = np.zeros(len(begin), np.uint64)
+    length = stop - begin
+    for k in range(int(length.max()) if len(begin) else 0):
+        on = np.flatnonzero(length > k)
+        key[on] = key[on] * up + h[begin[on] + k]
+    return mix64(key ^ length.astype(np.uint64))
+
+
+def _whole_runs(w: np.ndarray, words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of the runs of fewest lines with so many words that begin or end at a line:
+    together they cover every longer run."""
+    n = len(w)
+    total = np.concatenate(([0], np.cumsum(w)))
+    stop = np.searchsorted(total, total[:-1] + words)
+    a = np.flatnonzero(stop <= n)
+    b = np.flatnonzero(total >= words)
+    begin = np.searchsorted(total, total[b] - words, side="right") - 1
+    both = np.unique(np.concatenate((a * (n + 1) + stop[a], begin * (n + 1) + b)))
+    return both // (n + 1), both % (n + 1)
+
+
 def selected(h: np.ndarray, w: np.ndarray, span_words: int = SPAN_WORDS, run_words: int = RUN_WORDS) -> list[tuple[int, int]]:
     """(hash, position) of the selected spans of one document's lines."""
     n = len(h)
@@ -83,17 +114,12 @@ def selected(h: np.ndarray, w: np.ndarray, span_words: int = SPAN_WORDS, run_wor
     m = int((stop <= n).sum())  # the spans that are whole
     if not m:
         return []
-    up = np.uint64(0x9E3779B97F4A7C15)
-    key = np.zeros(m, np.uint64)
-    length = stop[:m] - np.arange(m)
-    for k in range(int(length.max())):
-        on = np.flatnonzero(length > k)
-        key[on] = key[on] * up + h[on + k]
-    key = mix64(key ^ length.astype(np.uint64))
+    stop = stop[:m]
+    key = _range_keys(h, np.arange(m), stop)
     picks: set[int] = set()
     # the window of i holds the spans i..last[i] that lie in the fewest lines with enough words
     end = np.searchsorted(total, total[:m] + run_words)
-    last = np.searchsorted(stop[:m], end, side="right") - 1
+    last = np.searchsorted(stop, end, side="right") - 1
     keys, best, reach = key.tolist(), -1, -1
     for i in range(m):
         if end[i] > n and i:
@@ -132,6 +158,20 @@ def _lined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of RUN_WORDS words that begin or end at each line, of rows of LINES."""
+    for batch in batches:
+        h, w = (batch.column(k).to_pylist() for k in (2, 3))
+        for k in range(batch.num_rows):
+            begin, stop = _whole_runs(np.array(w[k], np.int64))
+            keys = _range_keys(np.array(h[k], np.int64).view(np.uint64), begin, stop)
+            row = pa.array(np.full(len(keys), k))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(row), batch.column(1).take(row), pa.array(keys.view(np.int64)), pa.array(begin, pa.int32()), pa.array(stop, pa.int32())],
+                names=["doc_id", "th", "key", "at", "stop"],
+            )
+
+
 def _runs(later: np.ndarray, words: np.ndarray, earlier: np.ndarray, first: int, least: int) -> np.ndarray:
     """Of lines first.. of `later` that face `earlier`: those in equal runs of `least` words."""
     n = len(earlier)
@@ -141,7 +181,7 @@ def _runs(later: np.ndarray, words: np.ndarray, earlier: np.ndarray, first: int,
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def deletions(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def deletions(docs: DataFrame, scratch: Scratch, whole_runs: bool = False) -> DataFrame:
     """(doc_id, th, gone): the positions, among lines with words, that each document loses.
 
     docs: doc_id, th (a hash of the text), text."""
@@ -166,6 +206,12 @@ def deletions(docs: DataFrame, scratch: Scratch) -> DataFrame:
         return pd.Series([_runs(*x, SPAN_WORDS).astype(np.int32) for x in zip(h, w, facing, first, strict=True)])
 
     cut = met.select("doc_id", "th", F.explode(runs("h", "w", "facing", "first")).alias("line"))
+    if whole_runs:
+        place = F.struct("doc_id", "th", "at")
+        whole = scratch.keep(lines.select("doc_id", "th", "h", "w").mapInArrow(_whole, "doc_id long, th long, key long, at int, stop int"), "whole")
+        firsts = whole.groupBy("key").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("key", "f")
+        later = whole.join(scratch.keep(firsts, "whole_firsts"), "key").where("struct(doc_id, th, at) > f")
+        cut = cut.union(later.select("doc_id", "th", F.explode(F.sequence("at", F.col("stop") - 1)).alias("line")))
     return cut.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
@@ -188,13 +234,13 @@ def _without(text: str | None, gone) -> tuple[str | None, int, int]:
 _BLANKS = {c: " " for c in (*range(0x09, 0x0E), 0x20)}
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_runs: bool = False) -> DataFrame:
     """docs, all columns, with text_col rewritten, and the columns n_lines_removed and
     n_words_removed (which replace columns of these names)."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.drop("n_lines_removed", "n_words_removed")
     th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    gone = scratch.keep(deletions(docs.select(F.col(id_col).cast("long").alias("doc_id"), th.alias("th"), F.col(text_col).alias("text")), scratch), "gone")
+    gone = scratch.keep(deletions(docs.select(F.col(id_col).cast("long").alias("doc_id"), th.alias("th"), F.col(text_col).alias("text")), scratch, whole_runs), "gone")
     # names that no caller's column has
     own = {k: f"__line_dedup_{k}" for k in ("hash", "id", "th", "gone")}
     gone = gone.select(F.col("doc_id").alias(own["id"]), F.col("th").alias(own["th"]), F.col("gone").alias(own["gone"]))
@@ -217,7 +263,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated runs deleted; rows that nothing is left of are dropped, and
     n_chars, where present, is set anew."""
-    out = dedup_lines(docs, id_col, text_col)
+    out = dedup_lines(docs, id_col, text_col, whole_runs=True)
     out = out.where((F.col("n_lines_removed") == 0) | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(F.col(text_col)).cast(docs.schema["n_chars"].dataType))

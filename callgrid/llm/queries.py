@@ -32,7 +32,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return linededup.dedup_lines(docs)
+    return linededup.dedup_lines(docs, whole_runs=True)
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

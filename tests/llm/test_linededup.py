@@ -109,3 +109,36 @@ def test_odd_rows(spark):
     assert sorted(map(str, got)) == sorted(map(str, want))
     assert linededup.clean_documents(df).count() == 4
     assert linededup.dedup_lines(df.limit(0)).count() == 0
+
+
+def whole(rows):
+    """Lines of later copies of all runs of R words or more."""
+    seen, gone = set(), {}
+    for i, t in sorted(rows):
+        lines = [x.strip() for x in t.split("\n") if x.strip()]
+        for a in range(len(lines)):
+            n = 0
+            for b in range(a, len(lines)):
+                n += len(lines[b].split())
+                if n >= R and (run := tuple(lines[a : b + 1])) in seen:
+                    gone.setdefault(i, set()).update(range(a, b + 1))
+                elif n >= R:
+                    seen.add(run)
+    return gone
+
+
+def test_whole_runs(spark):
+    """A passage of which one line also stands earlier goes in full from its later copies."""
+    rows, n = corpus(2), 100
+    for k in range(20):
+        line = lambda j, m: " ".join(f"p{k}x{j}x{i}" for i in range(m))  # noqa: E731, B023
+        passage = "\n".join(line(j, m) for j, m in enumerate((15, 15, 15, 30, 15, 15, 15)))
+        rows += [(n, line(3, 30)), (n + 1, passage), (n + 2, f"own {n}\n{passage}\nend")]
+        n += 3
+    part, full = brute(rows), whole(rows)
+    assert any(full[i] - part.get(i, set()) for i in full if i >= 100)
+    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), whole_runs=True).collect()}
+    for i, t in rows:
+        want, _, _ = linededup._without(t, sorted(part.get(i, set()) | full.get(i, set())))
+        assert got[i].text == want, i
+    assert all(got[i].text == f"own {i - 2}\nend" for i in range(102, n, 3))

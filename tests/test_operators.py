@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from callgrid.kernel.phone import Phone, Phones
+from callgrid.kernel.phone import Phone, PhoneError, Phones
 from callgrid.operators import catalog
 from callgrid.operators import numbers as O
 from callgrid.plans import Plan, default_plan, loader
@@ -44,6 +44,23 @@ def test_match_all_pairs_uses_every_customer(spark, tmp_path):
     assert {(r.a_id, r.b_id): r.match for r in got} == want and any(a % 3 == 0 for a, _ in want)
 
 
+def test_parse_struct_of_all_codes_and_styles(spark, tmp_path):
+    spark.range(240).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    got = catalog.QUERIES["parse_struct"](spark, str(tmp_path)).collect()
+    assert {(r.key % 12, r.key % 40) for r in got} == {(k % 12, k % 40) for k in range(120)} and len(got) == 240
+
+    def parsed(raw, region):
+        try:
+            p = P.parse(raw, region)
+            return p.country_code, p.national_number, p.extension
+        except PhoneError:
+            return None, None, None
+
+    for r in got:
+        assert r.raw is None or (r.country_code, r.national_number, r.extension) == parsed(r.raw, r.region), r
+    assert len({r.country_code for r in got}) > 15
+
+
 def test_dedupe_latest_numbered_and_prefixes(spark):
     df = spark.createDataFrame([("+1", 3, "a"), ("+1", 1, "b"), ("+2", 2, None)], "e164 string, t int, who string")
     assert sorted(map(tuple, O.dedupe(df, "e164", "t").collect())) == [("+1", 1, "b"), ("+2", 2, None)]

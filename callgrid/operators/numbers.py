@@ -170,9 +170,10 @@ def match_numbers(left: DataFrame, right: DataFrame) -> DataFrame:
     return pairs.select("a_id", "b_id", N.match(of("a"), of("b")).alias("match")).where("match <> 'NO_MATCH'")
 
 
-def longest_prefix(df: DataFrame, digits: str, prefixes: DataFrame, most: int = 10) -> DataFrame:
-    """df with name: that of the longest prefix (of at most `most` digits) in front."""
+def longest_prefix(df: DataFrame, digits: str, prefixes: DataFrame) -> DataFrame:
+    """df with name: that of the longest prefix in front."""
+    longest = F.broadcast(prefixes.agg(F.coalesce(F.max(F.length("prefix")), F.lit(1)).alias("_most")))
     have = df.withColumn("_id", F.monotonically_increasing_id())
-    cut = have.select("_id", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.greatest(F.length(digits), F.lit(1)), F.lit(most))), lambda k: F.substring(F.col(digits), F.lit(1), k))).alias("prefix"))
+    cut = have.crossJoin(longest).select("_id", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.greatest(F.length(digits), F.lit(1)), F.greatest("_most", F.lit(1)))), lambda k: F.substring(F.col(digits), F.lit(1), k))).alias("prefix"))
     best = cut.join(prefixes, "prefix").groupBy("_id").agg(F.max_by("name", F.length("prefix")).alias("name"))
     return have.join(best, "_id", "left").drop("_id")

@@ -71,6 +71,13 @@ def test_dedupe_latest_numbered_and_prefixes(spark):
     assert sorted(str((r.d, r.name)) for r in got.collect()) == sorted(map(str, [("16502", "three"), ("1777", "one"), ("99", None), ("", None), ("", None)]))
 
 
+def test_prefixes_of_any_length(spark):
+    names = spark.createDataFrame([("1", "one"), ("123456789012", "long")], "prefix string, name string")
+    df = spark.createDataFrame([("1234567890123",), ("12345678901",)], "d string")
+    assert {r.d: r.name for r in O.longest_prefix(df, "d", names).collect()} == {"1234567890123": "long", "12345678901": "one"}
+    assert {r.name for r in O.longest_prefix(df, "d", names.limit(0)).collect()} == {None}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "256.txt").write_text("# comment\n\n25639|Africell\n 25670 | Airtel|x\nbad line\n")
     assert sorted(map(tuple, files.prefix_map(spark, str(tmp_path / "256.txt")).collect())) == [("25639", "Africell"), ("25670", "Airtel|x")]

@@ -95,46 +95,73 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-_LOWER = _VALUE.copy()
-_LOWER[65:91] = _VALUE[97:123]
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, b in enumerate((_BASE, _INV)):
-            a = np.full(n, b, np.uint64)
-            a[0] = 1
-            _POWERS[k] = np.multiply.accumulate(a)
-    return _POWERS[0][:n], _POWERS[1][:n]
+def placed_sums(symbols: np.ndarray, size: np.ndarray, bits: int) -> np.ndarray:
+    """For runs of so many symbols, one after the other: the sums of a random number for each
+    (place in the run, symbol). Symbols have at most so many bits."""
+    begin = np.cumsum(size) - size
+    x = (np.arange(len(symbols)) - np.repeat(begin, size)).astype(np.uint64)
+    x <<= np.uint64(bits)
+    x |= symbols.astype(np.uint64)
+    x += np.uint64(1)
+    x *= _GOLDEN
+    return np.add.reduceat(mix64(x), begin)
 
 
 def _hash_runs(piece: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """64-bit polynomial hashes of the byte runs [starts, ends) of a piece."""
-    up, down = _powers(len(piece))
-    total = np.cumsum((_LOWER if lower else _VALUE)[piece] * up)
-    h = total[ends - 1]
-    later = starts > 0
-    h[later] -= total[starts[later] - 1]
-    return mix64(h * down[starts] + (ends - starts).astype(np.uint64))
+    size = ends - starts
+    stop = np.cumsum(size)
+    if len(starts) == 1 and size[0] > SLICE_BYTES:
+        # a longer run is hashed in parts
+        parts = [_hash_runs(piece[i : i + SLICE_BYTES], np.zeros(1, np.int64), np.array([min(SLICE_BYTES, ends[0] - i)]), lower) for i in range(int(starts[0]), int(ends[0]), SLICE_BYTES)]
+        return mix64(np.add.reduce(mix64(np.stack(parts) + np.arange(len(parts), dtype=np.uint64)[:, None] * _GOLDEN)) + size.astype(np.uint64))
+    symbols = piece[np.arange(stop[-1]) + np.repeat(starts - (stop - size), size)]
+    return mix64(placed_sums(_LOWER[symbols] if lower else symbols, size, 8) + size.astype(np.uint64))
+
+
+def same_runs(flat: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether flat[a : a + size] equals flat[b : b + size], run by run."""
+    out = np.ones(len(a), bool)
+    total = np.cumsum(size)
+    i = 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + SLICE_BYTES, side="right")))
+        if j == i + 1:
+            out[i] = np.array_equal(flat[a[i] : a[i] + size[i]], flat[b[i] : b[i] + size[i]])
+        else:
+            n, full = size[i:j], size[i:j] > 0
+            begin = np.cumsum(n) - n
+            at = np.arange(int(n.sum()))
+            unlike = flat[at + np.repeat(a[i:j] - begin, n)] != flat[at + np.repeat(b[i:j] - begin, n)]
+            if full.any():
+                out[i:j][full] = ~np.logical_or.reduceat(unlike, begin[full])
+        i = j
+    return out
 
 
 def word_hashes(flat: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash for each word ``[^\\x20\\x09-\\x0D]+`` of several texts, in order.
 
     Returns (hashes, first): text i has the hashes first[i]:first[i + 1]. With `lower`,
-    A-Z count as a-z. Long texts are hashed in pieces that end at white space.
+    A-Z count as a-z.
     """
+    starts, ends, first = word_runs(flat, offsets)
+    return run_hashes(flat, starts, ends, lower), first
+
+
+def word_runs(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first) of the words, in bytes of flat."""
     lo, hi = int(offsets[0]), int(offsets[-1])
     word = ~_SPACE[flat[lo:hi]]
     n = hi - lo
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     cuts = np.zeros(n + 1, bool)
     cuts[offsets - lo] = True
     before = np.empty(n, bool)
@@ -145,12 +172,15 @@ def word_hashes(flat: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.
     after[-1] = False
     after[:-1] = word[1:]
     ends = np.flatnonzero(word & (~after | cuts[1:])) + 1
-    first = np.searchsorted(starts, offsets - lo)
-    return run_hashes(flat[lo:hi], starts, ends, lower), first
+    return starts + lo, ends + lo, np.searchsorted(starts, offsets - lo)
 
 
 def run_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of non-empty, ascending byte runs, about SLICE_BYTES at a time."""
+    """64-bit hashes of non-empty, ascending byte runs, about SLICE_BYTES at a time.
+
+    Every byte adds a random number that depends on its place, so runs collide by chance only
+    (2 ** -64 for each two); where results must be exact, callers compare the runs as well.
+    """
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):

@@ -89,7 +89,7 @@ def _range_keys(h: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarra
     length = stop - begin
     for k in range(int(length.max()) if len(begin) else 0):
         on = np.flatnonzero(length > k)
-        key[on] = key[on] * up + h[begin[on] + k]
+        key[on] = mix64(key[on] * up + h[begin[on] + k])
     return mix64(key ^ length.astype(np.uint64))
 
 

@@ -12,7 +12,7 @@ from functools import cache
 import numpy as np
 import regex
 
-from callgrid.llm.common import mix64
+from callgrid.llm.common import mix64, placed_sums
 
 #: The split patterns of the two public vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -94,39 +94,30 @@ def split(texts: list[str], kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return points, starts, ends, np.searchsorted(starts, stops)
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-@cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for b in (_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64))):
-        a = np.full(1 << bits, b, np.uint64)
-        a[0] = 1
-        out.append(np.multiply.accumulate(a))
-    return out[0], out[1]
-
-
 def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans."""
+    """64-bit hashes of the spans, none of them empty."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(max(20, int(len(points)).bit_length()))
-    v = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    v ^= v >> np.uint64(32)
-    v *= up[: len(points)]
-    total = np.cumsum(v)
-    h = total[ends - 1]
-    h[starts > 0] -= total[starts[starts > 0] - 1]
-    return mix64(h * down[starts] + (ends - starts).astype(np.uint64))
+    size = ends - starts
+    return mix64(placed_sums(_symbols(points, starts, size), size, 21) + size.astype(np.uint64))
+
+
+def _symbols(points: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The code points of the spans, one span after the other."""
+    stop = np.cumsum(size)
+    return points[np.arange(stop[-1]) + np.repeat(starts - (stop - size), size)]
 
 
 class WordIds:
     """Token ids of words, looked up by hash; words not seen yet are encoded together.
 
-    The table holds at most `most` words; then it starts anew, which costs time only.
+    A word that is found is compared with the stored one, code point by code point, so words
+    of equal hashes keep their own ids. The table holds at most `most` words of MOST_POINTS
+    code points in all, beside those of one call; then it starts anew, which costs time only.
     """
 
+    MOST_POINTS = 1 << 23
+
     def __init__(self, encode, most: int = 400_000):
         self.encode, self.most = encode, most
         self.clear()
@@ -134,26 +125,47 @@ class WordIds:
     def clear(self) -> None:
         self.index: dict[int, int] = {}
         self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.begin, self.length, self.text = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _add(self, points: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Encode these words; their numbers in the table."""
+        words = [points[a : a + n].tobytes().decode("utf-32-le", "surrogatepass") for a, n in zip(starts.tolist(), size.tolist(), strict=True)]
+        ids, sizes = self.encode(words)
+        first = len(self.start)
+        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.size = np.concatenate((self.size, sizes))
+        self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
+        self.begin = np.concatenate((self.begin, len(self.text) + np.cumsum(size) - size))
+        self.length = np.concatenate((self.length, size))
+        self.text = np.concatenate((self.text, _symbols(points, starts, size)))
+        return np.arange(first, len(self.start))
+
+    def _unlike(self, known: np.ndarray, points: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The words that are not the stored ones."""
+        other = self.length[known] != size
+        at = np.where(other, 0, known)
+        n = np.where(other, 1, size)
+        begin = np.cumsum(n) - n
+        differs = _symbols(points, starts, n) != _symbols(self.text, self.begin[at], n)
+        return np.flatnonzero(other | np.logical_or.reduceat(differs, begin))
 
     def of(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, their number for each word)."""
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        length = ends - starts
         hashes, at, back = np.unique(span_hashes(points, starts, ends), return_index=True, return_inverse=True)
-        if len(self.index) > self.most:
+        if len(self.index) > self.most or len(self.text) > self.MOST_POINTS:
             self.clear()
         keys = hashes.tolist()
         new = [i for i, h in enumerate(keys) if h not in self.index]
         if new:
-            words = [points[starts[j] : ends[j]].tobytes().decode("utf-32-le", "surrogatepass") for j in at[new]]
-            ids, sizes = self.encode(words)
-            first = len(self.start)
-            for k, i in enumerate(new):
-                self.index[keys[i]] = first + k
-            self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(sizes) - sizes))
-            self.size = np.concatenate((self.size, sizes))
-            self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
+            self.index.update(zip([keys[i] for i in new], self._add(points, starts[at[new]], length[at[new]]).tolist(), strict=True))
         known = np.fromiter((self.index[h] for h in keys), np.int64, len(keys))[back]
+        # words whose hash another word has
+        odd = self._unlike(known, points, starts, length)
+        if len(odd):
+            known[odd] = self._add(points, starts[odd], length[odd])
         size = self.size[known]
         stop = np.cumsum(size)
         if not len(stop) or not stop[-1]:

@@ -22,6 +22,7 @@ bounded by about 1 MB of text at a time (or one longer text).
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callgrid.llm.common import code_point_counts, flat_text, mix64, run_hashes, slices, word_hashes
+from callgrid.llm.common import code_point_counts, flat_text, mix64, run_hashes, same_runs, slices, word_runs
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -54,33 +55,78 @@ def _sums(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def _repeat_words(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _repeated(keys: np.ndarray, same) -> np.ndarray | None:
+    """Places of keys that stand twice, pairs of neighbours (earlier, later) in columns; None if
+    equal keys stand for unlike things by same(earlier, later)."""
+    order = np.argsort(keys, kind="stable")
+    at = np.flatnonzero(keys[order][1:] == keys[order][:-1])
+    earlier, later = order[at], order[at + 1]
+    return np.stack((earlier, later)) if same(earlier, later).all() else None
+
+
+def _repeat_words(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Words of each document inside a 3-word window that the document holds twice."""
-    n, docs = len(hashes), len(first) - 1
+    n, docs = len(starts), len(first) - 1
     if n < 3:
         return np.zeros(docs, np.int64)
     owner = np.repeat(np.arange(docs, dtype=np.uint64), np.diff(first))
+    hashes, size = run_hashes(text, starts, ends), ends - starts
     c = np.uint64(0x9E3779B97F4A7C15)
     key = mix64(((hashes[:-2] * c + hashes[1:-1]) * c + hashes[2:]) ^ mix64(owner[:-2] + np.uint64(1)))
     whole = np.flatnonzero(owner[:-2] == owner[2:])
-    order = whole[np.argsort(key[whole], kind="stable")]
-    same = key[order][1:] == key[order][:-1]
+
+    def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b = whole[a], whole[b]
+        like = owner[a] == owner[b]
+        for k in range(3):
+            alike = size[a + k] == size[b + k]
+            like &= alike & same_runs(text, starts[a + k], starts[b + k], np.where(alike, size[a + k], 0))
+        return like
+
+    found = _repeated(key[whole], same)
     twice = np.zeros(n - 2, bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
+    if found is not None:
+        twice[whole[found.ravel()]] = True
+    else:
+        raw = text.tobytes()
+        words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        often = Counter(zip(owner[whole].tolist(), *([words[i + k] for i in whole] for k in range(3)), strict=True))
+        twice[whole] = [often[int(owner[i]), words[i], words[i + 1], words[i + 2]] > 1 for i in whole]
     covered = np.zeros(n, bool)
     for k in range(3):
         covered[k : n - 2 + k] |= twice
     return np.diff(_sums(covered)[first])
 
 
+def _dup_lines(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Whether each line equals an earlier one of its document."""
+    key = mix64(run_hashes(text, starts, ends) ^ mix64(owner.astype(np.uint64) + np.uint64(1)))
+    size = ends - starts
+
+    def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        alike = (owner[a] == owner[b]) & (size[a] == size[b])
+        return alike & same_runs(text, starts[a], starts[b], np.where(alike, size[a], 0))
+
+    found = _repeated(key, same)
+    again = np.zeros(len(starts), bool)
+    if found is not None:
+        again[found[1]] = True
+        return again
+    raw, seen = text.tobytes(), set()
+    for i, x in enumerate(zip(owner.tolist(), starts.tolist(), ends.tolist(), strict=True)):
+        line = x[0], raw[x[1] : x[2]]
+        again[i] = line in seen
+        seen.add(line)
+    return again
+
+
 def _judge(flat: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Counts of each document, and (start, end, failed) of each line."""
     lo, hi = int(offsets[0]), int(offsets[-1])
     text, offs = flat[lo:hi], offsets - lo
     docs = len(offs) - 1
-    hashes, first = word_hashes(text, offs, lower=False)
-    out = {"n_words": np.diff(first), "n_repeat_words": _repeat_words(hashes, first)}
+    begin, stop, first = word_runs(text, offs)
+    out = {"n_words": np.diff(first), "n_repeat_words": _repeat_words(text, begin, stop, first)}
     spaces = _SPACES[text]
     out["word_chars"] = code_point_counts(text, offs) - np.diff(_sums(spaces)[offs])
     symbols = _sums(_SYMBOLS[text])
@@ -97,11 +143,7 @@ def _judge(flat: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray]
     words = _sums(begins)
     w = words[ends] - words[starts]
     full = np.flatnonzero(w > 0)
-    h = run_hashes(text, starts[full], ends[full])
-    key = mix64(h ^ mix64(owner[full].astype(np.uint64) + np.uint64(1)))
-    order = np.argsort(key, kind="stable")
-    again = np.zeros(len(full), bool)
-    again[order[1:]] = key[order][1:] == key[order][:-1]
+    again = _dup_lines(text, starts[full], ends[full], owner[full])
     out["n_dup_lines"] = np.bincount(owner[full][again], minlength=docs)
 
     count = lambda mask: (s := _sums(mask))[ends] - s[starts]

@@ -1,11 +1,12 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from callgrid.llm import bpe, packing
+from callgrid.llm import bpe, packing, pretoken
 
 PATH, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 ALPHA = [*"abcdeTHEINthein  \n\t'sS.,!12<|>é ñßΣσİKſ中文日本", "ȩ́", " ", "\x1c", "\x85", "‍", "😀", "👍🏽", "<|endoftext|>", "<|startoftext|>", "'ll", "'RE", "½", "Ⅷ", "ˮ", "\x00"]
@@ -26,6 +27,28 @@ def test_ids_equal_the_library(path, make):
             assert own.decode(ids.tolist()) == lib.decode(ids.tolist(), skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("path,make", [(PATH, bpe.Encoder), (PIECES, packing.PieceEncoder)])
+def test_words_of_equal_hashes_keep_their_ids(path, make, monkeypatch):
+    lib = Tokenizer.from_file(path)
+    all_ = texts(300)
+    for n in (1024, 2048):
+        a = "".join("ab"[i.bit_count() & 1] for i in range(n))
+        all_ += [a, a.translate(str.maketrans("ab", "ba"))]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in all_]
+    assert [x.tolist() for x in make(path).encode(all_)] == want
+    # all hashes into 20 values: nearly every word meets another one's entry
+    monkeypatch.setattr(pretoken, "span_hashes", lambda *a, f=pretoken.span_hashes: f(*a) % np.uint64(20))
+    own = make(path)
+    assert [x.tolist() for x in own.encode(all_)] == want and [x.tolist() for x in own.encode(all_)] == want
+
+
+def test_long_text():
+    text = " ".join(f"w{i % 977}é" for i in range(120_000)) + " " + "z" * 300_000
+    for path, own in ((PATH, bpe.Encoder(PATH)), (PIECES, packing.PieceEncoder(PIECES))):
+        lib = Tokenizer.from_file(path)
+        assert own.encode([text[:900_000]])[0].tolist() == lib.encode(text[:900_000], add_special_tokens=False).ids
+
+
 def test_documents(spark):
     rows = list(enumerate([*texts(100), None])) + [(None, "hello"), (3, "again"), (3, "again")]
     df = spark.createDataFrame([(*x, "q") for x in rows], "doc_id long, text string, n_tokens string")

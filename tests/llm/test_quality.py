@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from callgrid.llm import quality
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,3 +60,18 @@ def test_long_text(spark):
     text = "one two three four. " * 200_000 + "\n" + " ".join(map(str, range(100)))
     r = quality.judge_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert tuple(r)[1:] == brute(text)
+
+
+def test_equal_hashes_are_compared(monkeypatch):
+    a = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    every = [*texts(60), f"{a}\n{b}", f"{a[:1024]}\n{b[:1024]} {a} x x {b} x x"]
+    raw = [t.encode() for t in every]
+    flat, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    want = [brute(t) for t in every]
+    for bits in (64, 3):
+        monkeypatch.setattr(quality, "run_hashes", lambda *x, f=quality.run_hashes, bits=bits: f(*x) >> np.uint64(64 - bits))
+        monkeypatch.setattr(quality, "mix64", lambda x, f=quality.mix64, bits=bits: f(x) >> np.uint64(64 - bits))
+        got = quality._judge(flat, offsets)[0]
+        assert [got["n_dup_lines"][i] for i in range(len(every))] == [x[3] for x in want]
+        assert [got["n_repeat_words"][i] for i in range(len(every))] == [x[4] for x in want]

@@ -8,11 +8,12 @@
 3. Star links: every member of a bucket is compared with the bucket's least member only;
    signatures that agree too little (SLACK standard errors) go no further, the others are
    confirmed on the full sets. Components of these links: alternating stars.
-4. What is left are buckets that still hold several components. Their members are dealt at
-   random into chunks of about CHUNK_ROWS members and CHUNK_SHINGLES shingles, and every
-   pair of chunks is one task: it counts the common shingles of all its pairs at once by a
-   product of incidence matrices and returns only links that join two components. So no
-   link between different texts is lost and no group is expanded into pairs of rows.
+4. What is left are buckets that still hold several components, each set of members once
+   however many bands it meets in. Members are dealt by size of their sets, so that only like
+   sizes meet, and at random into chunks of about CHUNK_ROWS members and CHUNK_SHINGLES
+   shingles. Every pair of chunks is one task: it counts the common shingles of all its pairs
+   at once by a product of incidence matrices and returns only links that join two components.
+   So no link between different texts is lost and no group is expanded into pairs of rows.
 5. Components of all links, carried back to the documents.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. With fewer than
@@ -20,7 +21,9 @@ five words the whole sequence is the one shingle; a row with a null or empty tex
 without words, has an empty set and is linked with nothing. Rows that repeat a doc_id are one node: each row gets its own
 n_shingles and the component of the node. A row with a null doc_id is returned with its
 n_shingles, takes part in nothing, has a null component and is kept. An empty table gives
-an empty result; other columns are not read.
+an empty result; other columns are not read. A very long text is hashed as a whole, by one task.
+Ids may be any 64-bit number. Shingles are compared as 64-bit hashes, in which every byte counts
+by its place: two different ones are equal with a chance of 2 ** -64.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callgrid.llm.common import Scratch, flat_text, mix64, slices, word_hashes
@@ -207,19 +210,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = full.where(_is_linked(percent, common, F.size("shingles"), F.size("hub_set"))).select(F.col("id").alias("u"), F.col("hub").alias("v"))
     first = scratch.keep(components(stars, scratch), "first")
 
-    # buckets that still hold several components: all pairs of chunks, counted in blocks
-    at = members.select("band", "h", "id", "n").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = at.groupBy("band", "h").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("c"), F.sum("n").alias("s")).where("a < b")
+    # buckets that still hold several components: all pairs of chunks of like sizes, counted in blocks
+    at = members.select("band", "h", "id", "n", _step(F.col("n"), percent).alias("step")).join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = at.groupBy("band", "h", "step").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("c"), F.sum("n").alias("s"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(id, 1))").alias("y"))
     chunks = F.ceil(F.greatest(F.col("c") / CHUNK_ROWS, F.col("s") / CHUNK_SHINGLES)).cast("int")
-    split = scratch.keep(split.select("band", "h", chunks.alias("chunks")), "split")
-    at = at.join(split, ["band", "h"])
-    at = at.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    at = at.select("band", "h", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "id", "component")
+    split = sizes.groupBy("band", "h").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("c").alias("c"), F.expr("bit_xor(x)").alias("x"), F.expr("bit_xor(y)").alias("y"), F.collect_list(F.struct("step", chunks.alias("chunks"))).alias("sizes")).where("a < b")
+    # buckets of several bands that hold the same members are compared once
+    split = split.groupBy("c", "x", "y").agg(F.min(F.struct("band", "h")).alias("k"), F.min_by("sizes", F.struct("band", "h")).alias("sizes"))
+    split = scratch.keep(split.select("k.band", "k.h", F.map_from_entries("sizes").alias("sizes")), "split")
+    at = at.join(split, ["band", "h"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("sizes")[F.col("step")]).cast("int"))
+    at = at.withColumn("block", F.explode(_blocks())).select("band", "h", "block.*", "id", "component")
+
     def joining(table: pa.Table) -> pa.Table:
         return _joining_links(percent, table)
 
-    more = at.join(sets, "id").groupBy("band", "h", "i", "j").applyInArrow(joining, "u long, v long")
+    more = at.join(sets, "id").groupBy("band", "h", "low", "i", "high", "j").applyInArrow(joining, "u long, v long")
     # a doc_id on rows of several classes joins them
     twice = named.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id")
     same = named.join(twice, "doc_id").join(classes.select("digest", "id"), "digest").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
@@ -232,6 +237,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _step(n: Column, percent: int) -> Column:
+    """The size class of a set: linked sets are in the same class or in neighbouring ones."""
+    return F.floor(F.log(n) / (1.0001 * math.log(100 / percent))).cast("int") if percent < 100 else n.cast("int")
+
+
+def _blocks() -> Column:
+    """For a member (step, chunk, sizes: chunks by step), the pairs of chunks that it takes part in."""
+
+    def each(step: Column, block) -> Column:
+        n = F.coalesce(F.col("sizes")[step], F.lit(0))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: F.struct(*(x.alias(y) for x, y in zip(block(k), ("low", "i", "high", "j"), strict=True))))).otherwise(F.array())
+
+    step, chunk = F.col("step"), F.col("chunk")
+    return F.concat(
+        each(step, lambda k: (step, F.least(chunk, k), step, F.greatest(chunk, k))),
+        each(step + 1, lambda k: (step, chunk, step + 1, k)),
+        each(step - 1, lambda k: (step - 1, k, step, chunk)),
+    )
+
+
 def _bounded(ids: DataFrame) -> DataFrame:
     """A written table of ids, to be broadcast while it is small; else joined by a merge."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
@@ -243,10 +268,17 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = STAGE_PERCENT) -> DataFrame:
-    """The rows of docs, all columns, without the near copies of an earlier document."""
-    judged = near_duplicates(docs, id_col, text_col, percent)
-    gone = Scratch(docs.sparkSession).keep(judged.where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
-    return docs.join(_bounded(gone), id_col, "left_anti")
+    """The rows of docs, all columns, without the near copies of an earlier document. Of rows
+    that repeat a doc_id, one of those whose text has the least hash stays."""
+    scratch = Scratch(docs.sparkSession)
+    judged = scratch.keep(near_duplicates(docs, id_col, text_col, percent).where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.min("kept").alias("kept"), F.count("*").alias("n")).where("n > 1 or not kept"), "judged")
+    again = judged.where("kept").select(id_col)
+    once = docs.join(_bounded(judged.select(id_col)), id_col, "left_anti")
+    th = "__minhash_th"
+    rest = docs.join(_bounded(again), id_col, "left_semi").withColumn(th, F.xxhash64(text_col))
+    least = rest.groupBy(id_col).agg(F.min(th).alias(th))
+    rest = rest.join(least.withColumnRenamed(id_col, "__minhash_id"), (F.col(id_col) == F.col("__minhash_id")) & (rest[th] == least[th]), "left_semi").drop(th)
+    return once.unionByName(rest.dropDuplicates([id_col]))
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

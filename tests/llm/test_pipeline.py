@@ -36,6 +36,7 @@ def test_stages_and_run(spark, tmp_path):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
             assert all(r.n_chars == len(r.text) for r in at[name].values())
     assert set(at["quality"]) == {i for i, *_ in rows} - {34, 35, 36}
+    # 40 and 41 are one long line each, which differ
     assert set(at["line_dedup"]) == set(at["quality"]) - {30} and "\n" not in at["line_dedup"][32].text and "\n" in at["line_dedup"][31].text
     assert set(at["near_dedup"]) == set(at["line_dedup"]) - {41}
     assert "[assign]" in at["secrets"][33].text and "abcdefgh1" not in at["secrets"][33].text

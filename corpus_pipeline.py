@@ -5,12 +5,19 @@ columns of documents. A stage's result is written as Parquet and read again as t
 the next one.
 
 1. quality: documents that the rules reject go; failing lines of the others are removed.
-2. line_dedup: later copies of repeated runs of lines are deleted; a document that nothing
-   is left of goes.
+2. line_dedup: later copies of repeated runs of lines are deleted; a document that loses lines
+   and is left with fewer words than the first stage demands goes.
 3. near_dedup: of each group of near-duplicates the document with the least doc_id stays; two
    documents are near from 80 % of common shingles on.
 4. secrets: secrets are replaced by their kinds.
 5. packing: the documents' tokens are packed into sequences.
+
+Defined results: a document with a null or empty text, or fewer than 50 words, goes in the first
+stage. A very long text is treated whole, by one task of each stage. Of equal documents, and of
+rows that repeat a doc_id, one stays: in line_dedup, ties in doc_id go by a hash of the text; in
+near_dedup, of rows with one doc_id the one whose text has the least hash stays. Rows with a null
+doc_id are cleaned and packed like others but are never near copies. An empty table gives an empty
+result. Other columns of documents, whatever their names, are passed on by all stages but the last.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linededup.clean_documents(docs)
+    return linededup.clean_documents(docs, least_words=quality.MIN_WORDS)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,10 @@ import numpy as np
 
 
 class _Parser:
-    def __init__(self, pattern: str, ignore_case: bool):
-        self.p, self.i, self.fold = pattern, 0, ignore_case
+    """held: group 2 must be a repeated class, of which so many bytes at least are asked for."""
+
+    def __init__(self, pattern: str, ignore_case: bool, held: int = 0):
+        self.p, self.i, self.fold, self.groups, self.held = pattern, 0, ignore_case, 0, held
 
     def set_of(self, chars) -> tuple:
         out = {ord(c) for c in chars}
@@ -62,8 +64,13 @@ class _Parser:
         items = []
         while self.peek() not in ("", "|", ")"):
             if self.peek() == "(":
-                self.i += 3 if self.p.startswith("(?:", self.i) else 1
+                named = not self.p.startswith("(?:", self.i)
+                self.i += 1 if named else 3
+                self.groups += named
+                k = self.groups
                 node = self.alternatives()
+                if named and k == 2 and self.held:
+                    node = _longer(node, self.held)
                 self.i += 1
             elif self.peek() == "[":
                 self.i += 1
@@ -83,8 +90,17 @@ class _Parser:
         return ("cat", items)
 
 
-def parse(pattern: str, ignore_case: bool = False) -> tuple:
-    return _Parser(pattern, ignore_case).alternatives()
+def _longer(node: tuple, least: int) -> tuple:
+    """A repeated class with more repeats at least."""
+    while node[0] == "cat" and len(node[1]) == 1:
+        node = node[1][0]
+    if node[0] != "rep" or node[1][0] != "set":
+        raise ValueError("group 2 is not a repeated class")
+    return ("rep", node[1], max(least, node[2]), node[3])
+
+
+def parse(pattern: str, ignore_case: bool = False, held: int = 0) -> tuple:
+    return _Parser(pattern, ignore_case, held).alternatives()
 
 
 def mirrored(node: tuple) -> tuple:
@@ -149,8 +165,10 @@ class _Nfa:
 class Automaton:
     """All rules in one table: `step[state * width + kind[byte]]` is the next state, times width.
 
-    In search mode every position may begin a match. States that end a match of some rule
-    have the highest numbers, from `first_hit` on; `rules[state]` are their rules' bits.
+    In search mode every position may begin a match, and the separator byte 255, which is in no
+    rule, leads back to the root; else it ends all matches. States that end a match of some rule
+    have the highest numbers, from `first_hit` on; `rule[state]` are their rules' bits. From the
+    state `dead` no match ends.
     """
 
     def __init__(self, nodes: list[tuple], search: bool = True):
@@ -182,13 +200,12 @@ class Automaton:
             return closed[s]
 
         by_kind = [[[t for s, t in m if b in s] for b in sample] for m in nfa.moves]
-        # the separator byte 255 is in no rule: it leads back to the root
         start = closure(root)
         number, order, rows = {start: 0}, [start], []
         for subset in order:
             row = []
             for k, b in enumerate(sample):
-                to = frozenset().union(*(closure(t) for s in subset for t in by_kind[s][k])) if b != 255 else start
+                to = frozenset().union(*(closure(t) for s in subset for t in by_kind[s][k])) if b != 255 or not search else start
                 if to not in number:
                     number[to] = len(order)
                     order.append(to)
@@ -205,6 +222,8 @@ class Automaton:
         self.kind, self.width = kind.tobytes(), len(sample)
         self.step = (self.table * self.width).ravel().tolist()
         self.first_hit = int((rule == 0).sum()) * self.width
+        stuck = np.flatnonzero((self.table == np.arange(len(self.table))[:, None]).all(axis=1) & (self.rule == 0))
+        self.dead = int(stuck[0]) * self.width if len(stuck) else -1
 
     @staticmethod
     def _minimal(table: np.ndarray, rule: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -228,3 +247,30 @@ class Automaton:
             if s >= first_hit:
                 hits.append((i, int(rule[s // width])))
         return hits[::-1]
+
+    def ends(self, kinds: bytes, at: int) -> dict[int, tuple[int, int]]:
+        """Of the matches that begin at `at`, by rule: the last position where one ends, and the
+        bits of all rules that a match ends there for. kinds: the data, translated by `kind`."""
+        step, first_hit, width, rule, dead = self.step, self.first_hit, self.width, self.rule, self.dead
+        s, i, found = self.start * width, at, []
+        for c in _from(kinds, at):
+            s = step[s + c]
+            if s == dead:
+                break
+            i += 1
+            if s >= first_hit:
+                found.append((i, s))
+        out: dict[int, tuple[int, int]] = {}
+        for i, s in reversed(found):
+            bits = int(rule[s // width])
+            for k in range(bits.bit_length()):
+                if bits >> k & 1 and k not in out:
+                    out[k] = (i, bits)
+        return out
+
+
+def _from(data: bytes, at: int, size: int = 256):
+    """The bytes from `at` on, a few at a time."""
+    while at < len(data):
+        yield from data[at : at + size]
+        at += size

@@ -3,8 +3,10 @@
 The rules' expressions are reversed, joined, made deterministic by subset construction and
 minimised (see automaton). One pass over a text from its end then marks every position
 where a match of some rule begins; the marks of a rule, from the left, give its leftmost
-non-overlapping matches, whose ends an anchored match of that rule finds. Texts of a batch
-are scanned together, parted by a byte that UTF-8 never holds.
+non-overlapping matches. A second automaton, of the rules as they stand, runs from each of these
+marks to the longest match's end and tells there whether group 2 is long enough. Texts of a
+batch are scanned together, parted by a byte that UTF-8 never holds. ASCII only: no letter of
+another script folds into a rule.
 
 Spans are in code points, end exclusive. The base kinds are assign, access and hex; the
 other kinds only add spans.
@@ -19,7 +21,6 @@ time (or one longer text).
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -50,10 +51,11 @@ BASE = 3
 
 
 @cache
-def compiled(rules=RULES) -> tuple[Automaton, list]:
-    nodes = [mirrored(parse(p, fold)) for _, p, fold, _ in rules]
-    # ASCII only: no letter of another script folds into a rule
-    return Automaton(nodes), [re.compile(p.encode(), re.IGNORECASE if fold else 0) for _, p, fold, _ in rules]
+def compiled(rules=RULES) -> tuple[Automaton, Automaton]:
+    """The automata of the reversed rules, for beginnings, and of the rules, for ends. The latter
+    also has, from bit len(rules) on, each rule with the least length of its group 2."""
+    back = Automaton([mirrored(parse(p, fold)) for _, p, fold, _ in rules])
+    return back, Automaton([parse(p, fold, held) for least in (False, True) for _, p, fold, n in rules for held in (n if least else 0,)], search=False)
 
 
 Span = tuple[int, int, int]
@@ -61,21 +63,19 @@ Span = tuple[int, int, int]
 
 def scan(data: bytes, rules=RULES) -> list[Span]:
     """(start, rule number, end) in bytes, sorted, of all matches in data."""
-    automaton, anchored = compiled(rules)
+    back, forth = compiled(rules)
+    grouped = [parse(p, fold) != parse(p, fold, n) for _, p, fold, n in rules]
+    kinds = data.translate(forth.kind)
     out: list[Span] = []
     free = [0] * len(rules)
-    for at, bits in automaton.backward(data):
-        k = 0
-        while bits:
-            if bits & 1 and at >= free[k]:
-                m = anchored[k].match(data, at)
-                if m:
-                    free[k] = m.end()
-                    held = m[2] if anchored[k].groups > 1 else m[0]
-                    if len(held) >= rules[k][3]:
-                        out.append((at, k, m.end()))
-            bits >>= 1
-            k += 1
+    for at, bits in back.backward(data):
+        mine = [k for k in range(len(rules)) if bits >> k & 1 and at >= free[k]]
+        ends = forth.ends(kinds, at) if mine else {}
+        for k in mine:
+            end, there = ends[k]
+            free[k] = end
+            if there >> len(rules) + k & 1 if grouped[k] else end - at >= rules[k][3]:
+                out.append((at, k, end))
     return sorted(out)
 
 

@@ -71,3 +71,30 @@ def test_minimal_automaton_equals_re():
             want = [i for i in range(13) if re.compile(p).match(s, i) or any(re.compile(p).fullmatch(s, i, j) for j in range(i, 13))]
             want = [i for i in want if i < 12 and any(re.compile(p).fullmatch(s, i, j) for j in range(i + 1, 13))]
             assert [i for i, _ in a.backward(s.encode())] == want
+
+
+def test_ends_equal_re():
+    """The longest match of each rule from a place, and whether its group 2 is long enough."""
+    r = random.Random(2)
+    rules = ["a(b|c)*d", "(a)b*([cd]+)", "[ab]{2,3}c?", "(ab|a)+"]
+    both = [parse(p, held=held) for held in (0, 3) for p in rules]
+    f = Automaton(both, search=False)
+    for _ in range(400):
+        s = "".join(r.choice("abcd") for _ in range(14))
+        kinds = s.encode().translate(f.kind)
+        for i in range(14):
+            want = {}
+            for k, p in enumerate(rules):
+                if ends := [j for j in range(i + 1, 15) if re.compile(p).fullmatch(s, i, j)]:
+                    want[k] = ends[-1]
+            got = f.ends(kinds, i)
+            assert {k: e for k, (e, _) in got.items() if k < 4} == want
+            if 1 in want:
+                assert bool(got[1][1] >> 5 & 1) == (len(re.compile(rules[1]).fullmatch(s, i, want[1])[2]) >= 3)
+
+
+def test_texts_stay_apart(spark):
+    """A match never runs on into the next text of a batch."""
+    rows = [(1, "token="), (2, "abcdefgh"), (3, "AKIA" + "B" * 10), (4, "C" * 10), (5, None), (6, "0" * 20), (7, "0" * 20)]
+    got = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).transform(secrets.find_secrets).collect()
+    assert all(r.spans == "" for r in got)

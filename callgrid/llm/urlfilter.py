@@ -3,20 +3,25 @@
 Everything here is DataFrame code. A list of canonical URLs is turned into a Bloom filter
 of 256-bit blocks: a key picks one block and sets one bit in each of its four 64-bit
 words. Pages probe the filter first; only possible hits reach the hash join with the list
-itself, which removes the false positives.
+itself, which removes the false positives. The list is canonicalised and written once, to the
+shared scratch folder; pages are read once for those that miss the filter and once for those that
+may be listed, so that nothing but possible hits is ever shuffled.
 
-The filter has BITS_PER_KEY bits for each listed URL. It is broadcast only while its size,
-known from the list's count, is at most BROADCAST_BYTES; beyond that the probe is an
-ordinary shuffled join on the block number, which Spark can split where it is skewed.
+The filter has BITS_PER_KEY bits for each listed URL. It is broadcast while its size, known
+from the list's count, is at most BROADCAST_BYTES (about 30 million URLs); beyond that the probe
+is a hash join on the block number, which shuffles the pages and which Spark can split where it is
+skewed. The exact join is a hash join as well: of a broadcast list, if its bytes, which
+are summed, are at most LIST_BYTES, else of shuffled keys.
 
 Rules (host, path) come before the list: a rule fits its host and all subdomains when the
-path starts with the rule's; of the rules that fit, the longest text wins. Rules are a
-parameter of at most a few hundred entries, held in the plan.
+path starts with the rule's; of the rules that fit, the longest text wins, of equally long ones the
+first. Rules are a parameter of at most a few hundred entries, held in the plan.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and fits
-no rule; its canonical form is empty, which no list holds. Repeated rows are judged alike,
-one row each. A null or repeated list entry counts once or not at all. Empty pages or an
-empty list give an empty result or no blocks. Other columns are not read.
+no rule; its canonical form is empty, which no list holds. A very long URL is treated whole. A null
+page_id is passed on. Repeated rows are judged alike, one row each. A null or repeated list entry
+counts once or not at all. Empty pages or an empty list give an empty result or no blocks. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -26,9 +31,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callgrid.llm.common import Scratch
+
 BITS_PER_KEY = 16
 BLOCK_BITS = 256
-BROADCAST_BYTES = 4 << 20
+#: A broadcast block takes about BLOCK_BYTES.
+BLOCK_BYTES = 80
+BROADCAST_BYTES = 160 << 20
+LIST_BYTES = 8 << 20
 
 #: Fixed values of the contract: verdict, host, path.
 RULES = (
@@ -66,7 +76,8 @@ def canonical(url: Column) -> Column:
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits; null where none does."""
     rule = verdict = F.lit(None).cast("string")
-    for kind, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    # a later one replaces an earlier one, so of equally long rules the first comes last
+    for kind, h, p in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         rule, verdict = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(kind)).otherwise(verdict)
     return rule, verdict
@@ -90,12 +101,12 @@ def bloom_blocks(keys: DataFrame, n_blocks: int) -> DataFrame:
 
 def listed(pages: DataFrame, keys: DataFrame) -> DataFrame:
     """pages with a boolean column `listed`: its `key` is one of keys' (column key)."""
-    keys = keys.where(F.col("key").isNotNull() & (F.col("key") != "")).distinct()
-    n_keys = keys.count()
+    keys = Scratch(pages.sparkSession).keep(keys.where(F.col("key").isNotNull() & (F.col("key") != "")).distinct(), "keys")
+    n_keys, size = keys.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()
     n_blocks = max(1, -(-n_keys * BITS_PER_KEY // BLOCK_BITS))
-    small = min(n_keys, n_blocks) * 40 <= BROADCAST_BYTES
+    small = min(n_keys, n_blocks) * BLOCK_BYTES <= BROADCAST_BYTES
     blocks = bloom_blocks(keys, n_blocks)
-    blocks = F.broadcast(blocks) if small else blocks
+    blocks = F.broadcast(blocks) if small else blocks.hint("shuffle_hash")
     probed = pages.withColumn("_block", _block(F.col("key"), n_blocks)).join(blocks.withColumnRenamed("block", "_block"), "_block", "left")
     hit = reduce(lambda a, b: a & b, [F.col(f"w{k}").bitwiseAND(m) != 0 for k, m in enumerate(_bits(F.col("key")))])
     probed = probed.withColumn("_maybe", F.coalesce(hit, F.lit(False)) & (F.col("key") != ""))
@@ -103,6 +114,7 @@ def listed(pages: DataFrame, keys: DataFrame) -> DataFrame:
     probed = probed.withColumn("_probe", F.when(F.col("_maybe"), F.col("key")))
     sure = probed.where("not _maybe").select(*pages.columns, F.lit(False).alias("listed"))
     exact = keys.select(F.col("key").alias("_probe"), F.lit(True).alias("_found"))
+    exact = F.broadcast(exact) if size + 64 * n_keys <= LIST_BYTES else exact.hint("shuffle_hash")
     maybe = probed.where("_maybe").join(exact, "_probe", "left")
     return sure.unionByName(maybe.select(*pages.columns, F.coalesce("_found", F.lit(False)).alias("listed")))
 

@@ -26,3 +26,15 @@ def test_bloom_and_join_equal_a_set(spark, monkeypatch):
         monkeypatch.setattr(U, "BROADCAST_BYTES", small)
         got = U.listed(pages, keys).collect()
         assert len(got) == 3000 and all(r.listed == (r.page_id % 1500 % 3 == 0) for r in got)
+
+
+def test_equally_long_rules_repeated_rows_and_long_urls(spark, monkeypatch):
+    rules = (("block", "b.com", "/x"), ("allow", "a.b.com", ""), ("allow", "b.com", "/x"), ("block", "com", "/x/y/"))
+    long = "http://q.net/" + "z" * 200_000
+    rows = [(1, "http://a.b.com/x"), (2, "http://b.com/x/y/"), (3, long), (4, long + "1"), (None, long), (1, "http://a.b.com/x")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    for bound in (U.LIST_BYTES, 0):  # a broadcast list, or a shuffled hash join
+        monkeypatch.setattr(U, "LIST_BYTES", bound)
+        got = sorted((r.page_id or 0, r.rule, r.verdict) for r in U.judge_urls(df, df.where("page_id = 3").select("url"), rules).collect())
+        # a.b.com and b.com/x are 7 letters each: the first in order; com/x/y/ is longer
+        assert got == [(0, None, "block"), (1, "b.com/x", "block"), (1, "b.com/x", "block"), (2, "com/x/y/", "block"), (3, None, "block"), (4, None, "allow")]

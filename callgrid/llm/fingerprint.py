@@ -12,15 +12,16 @@ Likeness of two digests: for every filter of the shorter chain the best match in
 averaged by their features. A match is the number of common bits, scaled so that the share
 CUT of the way from chance to the most possible is 0 and the most possible is 1.
 
-Next documents: documents are dealt by ranges of doc_id, whose bounds are ids of documents,
-to blocks; the first document of a block is sent to the block before as well (that of the
-first block to the last). So texts are shuffled once and each task reads its rows in order,
-holding about 1 MB of them.
+Next documents: documents are dealt to blocks by ranges of (doc_id, hash of the text). The ranges
+are those of Spark's range partitioning of these two numbers, so nothing sorts or summarises all
+ids in one place; the driver gets one bound for each block. The first document of a block is sent
+to the block before as well (that of the first block to the last). So texts are shuffled once and
+each task reads its rows in order, holding about 1 MB of them and at most two texts that are longer.
 
 Defined results: a null text counts as empty. An empty text has the empty fingerprint: like
 another empty one 1.0, like others 0.0. A text of fewer bytes than a window, or without
 features, has one feature, the whole text. Rows are ordered by doc_id, nulls first, and
-those of one doc_id by text; repeated rows follow one another. A single row is its own next
+those of one doc_id by a hash of the text; repeated rows follow one another. A single row is its own next
 document. An empty table gives an empty result; other columns are not read.
 """
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callgrid.llm.common import SLICE_BYTES, flat_text, mix64, slices
+from callgrid.llm.common import SLICE_BYTES, Scratch, flat_text, mix64, slices
 
 WINDOW = 32
 LEVELS = 1000
@@ -218,32 +219,43 @@ def _rows(ids: list, texts: list[str], rank: np.ndarray) -> pa.RecordBatch:
     )
 
 
+def _ranks(bounds: list[tuple], *keys: np.ndarray) -> np.ndarray:
+    """For each row of keys, the number of bounds that are not above it."""
+    n = len(bounds)
+    own = [np.array([b[k] for b in bounds], x.dtype) for k, x in enumerate(keys)]
+    row = np.arange(n + len(keys[0])) >= n
+    order = np.lexsort((row, *(np.concatenate(x) for x in reversed(list(zip(own, keys, strict=True))))))
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(~row[order])
+    return out[n:]
+
+
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, both fingerprints and both likenesses for each row."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rank = rarity(docs)
-    blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    quantiles = F.percentile_approx("doc_id", [k / blocks for k in range(1, blocks)], 20 * blocks)
-    low, found = docs.agg(F.min("doc_id"), quantiles).first()
-    bounds = np.array(sorted({b for b in found or () if b > low}), np.int64)
+    keyed = Scratch(spark).keep(docs.select(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("th")), "keys")
+    blocks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = keyed.repartitionByRange(blocks, "known", "id", "th").groupBy(F.spark_partition_id()).agg(F.min(F.struct("known", "id", "th")).alias("k"))
+    bounds = sorted({tuple(r["k"]) for r in ranges.collect()})
+    low, bounds = bounds[:1], bounds[1:]
     last = len(bounds)
 
     @F.pandas_udf("array<int>")
-    def homes(ids):
+    def homes(known, ids, th):
         """The block of each document and, for the first of a block, the block before it."""
         import pandas as pd
 
-        out = []
-        for v, missing in zip(ids.fillna(0).astype("int64"), ids.isna(), strict=True):
-            b = 0 if missing else int(np.searchsorted(bounds, v, side="right"))
-            first = missing or v == low or b > 0 and bounds[b - 1] == v
-            out.append([b, -1 - (b - 1 if b else last)] if first else [b])
-        return pd.Series(out)
+        block = _ranks(bounds, known.to_numpy(), ids.to_numpy(), th.to_numpy())
+        begins = low + bounds
+        rows = zip(block.tolist(), zip(known, ids, th, strict=True), strict=True)
+        return pd.Series([[b, -1 - (b - 1 if b else last)] if begins[b] == key else [b] for b, key in rows])
 
-    placed = docs.withColumn("home", F.explode(homes("doc_id")))
-    placed = placed.select("doc_id", "text", F.when(F.col("home") < 0, -1 - F.col("home")).otherwise(F.col("home")).alias("block"), (F.col("home") < 0).alias("guest"))
-    placed = placed.repartition("block").sortWithinPartitions("block", "guest", "doc_id", "text")
+    placed = docs.withColumn("th", F.xxhash64("text"))
+    placed = placed.withColumn("home", F.explode(homes(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0)), F.col("th"))))
+    placed = placed.select("doc_id", "text", "th", F.when(F.col("home") < 0, -1 - F.col("home")).otherwise(F.col("home")).alias("block"), (F.col("home") < 0).alias("guest"))
+    placed = placed.repartitionById(last + 1, "block").sortWithinPartitions("guest", "doc_id", "th", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
@@ -251,10 +263,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
         size, done = 0, False
         for batch in batches:
             for v, t, guest in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["guest"].to_pylist(), strict=True):
-                if guest and done:
+                if done:
                     continue
-                if not guest and done:
-                    ids, texts, size = [], [], 0
                 ids.append(v)
                 texts.append(t)
                 size += len(t)

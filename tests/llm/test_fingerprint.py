@@ -77,3 +77,45 @@ def test_documents(spark):
     assert fp.fingerprint_documents(df.limit(0)).count() == 0
     one = fp.fingerprint_documents(spark.createDataFrame([(5, "abcd" * 32), (5, "abcd" * 32)], "doc_id long, text string")).collect()
     assert [(r.near_edited, r.near_next) for r in one] == [(1.0, 1.0)] * 2
+
+
+def test_digests_equal_sets_of_bits():
+    """The chained filters and the likeness by plain sets and loops."""
+    r = random.Random(8)
+    drawn = [r.getrandbits(64) for _ in range(700)]
+    chains = [drawn[:0], drawn[:1], drawn[:128], drawn[:129], drawn[100:400], drawn[:700]]
+
+    def filters(hashes):
+        parts = [hashes[i : i + fp.PER_FILTER] for i in range(0, len(hashes), fp.PER_FILTER)]
+        return [(len(p), {h >> 11 * k & 2047 for h in p for k in range(fp.HASHES)}) for p in parts]
+
+    def like(x, y):
+        a, b = sorted((filters(x), filters(y)), key=lambda f: (len(f), sum(n for n, _ in f)))
+        if not a or not b:
+            return float(len(a) == len(b))
+        total = 0
+        for n, bits in a:
+            best = 0
+            for _, other in b:
+                chance, most = len(bits) * len(other) / 2048, min(len(bits), len(other))
+                least = chance + fp.CUT * (most - chance)
+                best = max(best, min(1, max(0, (len(bits & other) - least) / max(most - least, 1e-9))))
+            total += n * best
+        return total / sum(n for n, _ in a)
+
+    made = [fp.Digest(np.array(c, np.uint64)) for c in chains]
+    for c, d in zip(chains, made, strict=True):
+        assert [set(np.flatnonzero(np.unpackbits(f)).tolist()) for f in d.filters] == [b for _, b in filters(c)]
+        for c2, d2 in zip(chains, made, strict=True):
+            assert abs(d.likeness(d2) - like(c, c2)) < 1e-9
+
+
+def test_ranges(spark):
+    """Null, equal and very large ids over many blocks; a very long text."""
+    r = random.Random(9)
+    rows = [(r.choice([None, 7, 7, (1 << 62) + i, -i]), f"text {i} " + "x y z " * (i % 5)) for i in range(300)] + [(1 << 61, "long " * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    th = {x.text: x.th for x in df.selectExpr("text", "xxhash64(text) as th").collect()}
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, th[x[1]]))
+    want = sorted((str(i), hashlib.sha256(fp.edited(t, order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
+    assert sorted((str(x.doc_id), x.edited_sha256) for x in fp.fingerprint_documents(df).collect()) == want

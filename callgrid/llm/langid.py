@@ -2,7 +2,9 @@
 
 Training counts, for each label, hashed character grams (GRAMS letters, with word edges) of
 all labelled training documents, and letters by script. Counts are exact sums over all
-data; the model is one table of BUCKETS rows for each label, however large the input.
+data; the model is one table of BUCKETS rows for each label, however large the input. More than
+MOST_LABELS labels are an error: the model would no longer be small. A task holds the counts of
+TASK_LABELS labels at a time.
 
 A word's candidates are the labels that have at least SCRIPT_SHARE of their letters in the
 word's script (all labels, where there is none). Its score for a label is the mean
@@ -36,6 +38,7 @@ GRAMS = (2, 3, 4)
 SMOOTH = 0.5
 SWITCH = 8.0
 SCRIPT_SHARE = 0.01
+MOST_LABELS, TASK_LABELS = 500, 64
 UNKNOWN = "und"
 
 #: Script ranges: name, first and last code point.
@@ -129,6 +132,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b, owner in words.grams():
                     mine[:BUCKETS] += np.bincount(b, weights=words.count[owner], minlength=BUCKETS).astype(np.int64)
                 mine[BUCKETS:] += np.bincount(words.script, weights=words.size, minlength=len(NAMES)).astype(np.int64)
+                if len(total) >= TASK_LABELS:
+                    yield from _rows(total)
+                    total = {}
+    yield from _rows(total)
+
+
+def _rows(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for label, counts in total.items():
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at])], names=["label", "bucket", "n"])
@@ -205,7 +215,11 @@ class Model:
 
 def fit(train: DataFrame) -> Model:
     """The model of (label, text) rows. The driver gets BUCKETS counts for each label."""
-    counts = train.where("label is not null and text is not null").mapInArrow(_counted, COUNTS).groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    train = train.where("label is not null and text is not null")
+    found = train.select("label").distinct().limit(MOST_LABELS + 1).count()
+    if found > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    counts = train.mapInArrow(_counted, COUNTS).groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = counts["label"].to_pylist()
     labels = sorted(set(names))
     number = {x: i for i, x in enumerate(labels)}

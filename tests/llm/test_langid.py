@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from callgrid.llm import langid
 
@@ -44,3 +45,54 @@ def test_viterbi_equals_all_paths():
             if b > a:
                 best = max(map(value, itertools.product(range(3), repeat=b - a)))
                 assert abs(value(path[a:b].tolist()) - best) < 1e-3
+
+
+def test_counts_and_word_scores_equal_plain_loops():
+    """Grams between word edges, counted by word; the mean over gram lengths of their log shares."""
+    texts = ["Kamo kamo, ri! über", "по не kamo", "", "x"]
+    words = langid.Words(texts)
+    plain = [w.lower() for t in texts for w in "".join(c if c.isalpha() else " " for c in t).split()]
+    assert [int(s) for s in words.size] == [len(w) for w in plain]
+
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = (h * 0x9E3779B97F4A7C15 + c) % 2**64
+        h ^= h >> 29
+        return (h * 0xBF58476D1CE4E5B9) % 2**64 >> 49
+
+    def grams(w):
+        s = [1, *map(ord, w), 2]
+        return [[bucket(s[i : i + k]) for i in range(len(s) - k + 1)] for k in langid.GRAMS]
+
+    want = np.zeros(langid.BUCKETS)
+    for w in plain:
+        for k in grams(w):
+            np.add.at(want, k, 1)
+    got = np.zeros(langid.BUCKETS)
+    for b, owner in words.grams():
+        np.add.at(got, b, words.count[owner])
+    assert (got == want).all()
+    r = np.random.default_rng(2)
+    counts = np.concatenate((r.integers(0, 9, (2, langid.BUCKETS)), np.ones((2, len(langid.NAMES)))), axis=1)
+    share = np.log((counts[:, : langid.BUCKETS] + langid.SMOOTH) / (counts[:, : langid.BUCKETS] + langid.SMOOTH).sum(axis=1, keepdims=True))
+    found = langid.Model(["a", "b"], counts).word_scores(words)
+    for i, w in enumerate(plain):
+        for x in range(2):
+            assert abs(found[i, x] - sum(share[x][k].sum() for k in grams(w)) / len(langid.GRAMS)) < 1e-3
+
+
+def test_many_labels(spark, monkeypatch):
+    rows = [(i, f"word{'abcdefgh'[i % 8] * 5} " * 20, f"l{i % 8}") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = sorted(map(tuple, langid.predict_documents(df).collect()))
+    monkeypatch.setattr(langid, "TASK_LABELS", 2)
+    assert sorted(map(tuple, langid.predict_documents(df).collect())) == whole
+    monkeypatch.setattr(langid, "MOST_LABELS", 7)
+    with pytest.raises(ValueError):
+        langid.predict_documents(df)
+
+
+def test_long_text(spark):
+    df = spark.createDataFrame([*corpus(60), (500, "kamo ritu " * 150_000, None)], "doc_id long, text string, lang string")
+    assert {r.doc_id: r for r in langid.predict_documents(df).collect()}[500].lang_pred == "aa"

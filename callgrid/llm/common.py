@@ -102,27 +102,44 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def placed_sums(symbols: np.ndarray, size: np.ndarray, bits: int) -> np.ndarray:
+def _drawn(x: np.ndarray) -> np.ndarray:
+    """A random number for each (place, symbol), given as one whole number."""
+    return mix64((x.astype(np.uint64) + np.uint64(1)) * _GOLDEN)
+
+
+#: Those of bytes at the first places.
+_PLACES = 512
+_DRAWN = _drawn(np.arange(_PLACES << 8))
+
+
+def placed_sums(symbols: np.ndarray, place: np.ndarray, size: np.ndarray, bits: int) -> np.ndarray:
     """For runs of so many symbols, one after the other: the sums of a random number for each
     (place in the run, symbol). Symbols have at most so many bits."""
-    begin = np.cumsum(size) - size
-    x = (np.arange(len(symbols)) - np.repeat(begin, size)).astype(np.uint64)
-    x <<= np.uint64(bits)
-    x |= symbols.astype(np.uint64)
-    x += np.uint64(1)
-    x *= _GOLDEN
-    return np.add.reduceat(mix64(x), begin)
+    x = (place << bits) | symbols
+    if bits == 8:
+        h = _DRAWN.take(x, mode="clip")
+        far = np.flatnonzero(place >= _PLACES)
+        h[far] = _drawn(x[far])
+    else:
+        h = _drawn(x)
+    return np.add.reduceat(h, np.cumsum(size) - size)
+
+
+def places(size: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... for each run of so many symbols."""
+    stop = np.cumsum(size)
+    return np.arange(stop[-1]) - np.repeat(stop - size, size)
 
 
 def _hash_runs(piece: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
     size = ends - starts
-    stop = np.cumsum(size)
     if len(starts) == 1 and size[0] > SLICE_BYTES:
         # a longer run is hashed in parts
         parts = [_hash_runs(piece[i : i + SLICE_BYTES], np.zeros(1, np.int64), np.array([min(SLICE_BYTES, ends[0] - i)]), lower) for i in range(int(starts[0]), int(ends[0]), SLICE_BYTES)]
         return mix64(np.add.reduce(mix64(np.stack(parts) + np.arange(len(parts), dtype=np.uint64)[:, None] * _GOLDEN)) + size.astype(np.uint64))
-    symbols = piece[np.arange(stop[-1]) + np.repeat(starts - (stop - size), size)]
-    return mix64(placed_sums(_LOWER[symbols] if lower else symbols, size, 8) + size.astype(np.uint64))
+    place = places(size)
+    symbols = piece[place + np.repeat(starts, size)]
+    return mix64(placed_sums(_LOWER[symbols] if lower else symbols, place, size, 8) + size.astype(np.uint64))
 
 
 def same_runs(flat: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:

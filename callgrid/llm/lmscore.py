@@ -45,6 +45,7 @@ TOP = 1 << 17
 WINDOW = 2
 HIDDEN = 32
 BATCH = 1024
+LIMIT = 80.0
 RATE = 0.1
 SEED = 7
 
@@ -127,7 +128,7 @@ def windows(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     place = np.arange(n)
     size = np.diff(first)
     begin, end = np.repeat(first[:-1], size), np.repeat(first[1:], size)
-    out = np.empty((2 * WINDOW, n), np.int64)
+    out = np.empty((2 * WINDOW, n), np.uint16)
     for row, d in enumerate([*range(-WINDOW, 0), *range(1, WINDOW + 1)]):
         x = place + d
         ok = (x >= begin) & (x < end)
@@ -136,16 +137,16 @@ def windows(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def forward(weights: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hidden, logits of all classes less their maximum) for tokens with these classes around."""
+    """(hidden, logits of all classes, limited to +-LIMIT) for tokens with these classes around."""
     t, b, v, c = weights
-    h = t[0][around[0]]
+    h = t[0].take(around[0], axis=0)
     for k in range(1, len(t)):
-        h += t[k][around[k]]
+        h += t[k].take(around[k], axis=0)
     h += b
     np.tanh(h, out=h)
     z = h @ v
     z += c
-    z -= z.max(axis=1, keepdims=True)
+    np.clip(z, -LIMIT, LIMIT, out=z)
     return h, z
 
 
@@ -154,7 +155,7 @@ def log_probs(weights: list[np.ndarray], around: np.ndarray, target: np.ndarray)
     z = forward(weights, around)[1]
     own = z[np.arange(len(target)), target]
     np.exp(z, out=z)
-    return own - np.log(z.sum(axis=1))
+    return own - np.log(z @ np.ones(CLASSES, np.float32))
 
 
 class Trainer:
@@ -170,22 +171,27 @@ class Trainer:
         self.w[k] -= RATE * grad / np.sqrt(self.g[k])
 
     def batch(self, around: np.ndarray, target: np.ndarray) -> None:
-        n = len(target)
+        n, places, one = len(target), len(around), np.ones(max(len(target), CLASSES), np.float32)
         h, z = forward(self.w, around)
         d = np.exp(z, out=z)
-        d /= d.sum(axis=1, keepdims=True) * n
+        d *= (1 / (d @ one[:CLASSES] * n))[:, None]
         d[np.arange(n), target] -= np.float32(1 / n)
         dh = (d @ self.w[2].T) * (1 - h * h)
-        grad = np.zeros_like(self.w[0])
-        for k in range(len(grad)):
-            order = np.argsort(around[k], kind="stable")
-            keys = around[k][order]
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            grad[k][keys[first]] = np.add.reduceat(dh[order], first, axis=0)
+        # gradients of the tables' rows: sums over equal classes, place by place
+        keys = (around + np.arange(places, dtype=np.uint16)[:, None] * np.uint16(CLASSES)).ravel()
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        rows = keys[first]
+        order = (order.reshape(places, n) - np.arange(places)[:, None] * n).ravel()
+        grad = np.add.reduceat(dh.take(order, axis=0), first, axis=0)
         self._step(2, h.T @ d)
-        self._step(3, d.sum(axis=0))
-        self._step(0, grad)
-        self._step(1, dh.sum(axis=0))
+        self._step(3, one[:n] @ d)
+        w, g = self.w[0].reshape(-1, HIDDEN), self.g[0].reshape(-1, HIDDEN)
+        new = g[rows] + grad * grad
+        g[rows] = new
+        w[rows] -= RATE * grad / np.sqrt(new)
+        self._step(1, one[:n] @ dh)
         self.seen += n
 
 

@@ -12,7 +12,7 @@ from functools import cache
 import numpy as np
 import regex
 
-from callgrid.llm.common import mix64, placed_sums
+from callgrid.llm.common import mix64, placed_sums, places
 
 #: The split patterns of the two public vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -99,13 +99,13 @@ def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     if not len(starts):
         return np.zeros(0, np.uint64)
     size = ends - starts
-    return mix64(placed_sums(_symbols(points, starts, size), size, 21) + size.astype(np.uint64))
+    place = places(size)
+    return mix64(placed_sums(points[place + np.repeat(starts, size)], place, size, 21) + size.astype(np.uint64))
 
 
 def _symbols(points: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The code points of the spans, one span after the other."""
-    stop = np.cumsum(size)
-    return points[np.arange(stop[-1]) + np.repeat(starts - (stop - size), size)]
+    return points[places(size) + np.repeat(starts, size)]
 
 
 class WordIds:

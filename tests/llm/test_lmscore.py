@@ -94,3 +94,49 @@ def test_words_of_a_class_differ(spark, monkeypatch):
         got = {x.doc_id: x.log_prob for x in lm.score_documents(df).collect()}
         assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-2 for i in want), top
         assert got[101] < got[100] - 2 and got[103] == got[104]
+
+
+def test_gradient_equals_differences():
+    """One step of the first batch moves every weight as the differences of the loss tell."""
+    r = np.random.default_rng(4)
+    tokens = r.integers(0, lm.CLASSES - 1, 40)
+    around = lm.windows(tokens, np.array([0, 15, 40]))
+    t = lm.Trainer()
+    before = [x.copy() for x in t.w]
+    t.batch(around, tokens)
+    loss = lambda w: -lm.log_probs(w, around, tokens).mean()
+    for k, w in enumerate(before):
+        flat = w.reshape(-1)
+        moved = (t.w[k].reshape(-1) - flat) / -lm.RATE
+        grad = np.sign(moved) * np.sqrt(1e-3 * moved**2 / np.maximum(1e-9, 1 - moved**2))  # as Adagrad scaled it
+        for i in np.argsort(-abs(grad))[:6]:
+            up, down = ([x.astype(np.float64) for x in before] for _ in range(2))
+            up[k].reshape(-1)[i] += 1e-4
+            down[k].reshape(-1)[i] -= 1e-4
+            assert abs((loss(up) - loss(down)) / 2e-4 - grad[i]) < 0.05 * abs(grad[i]) + 1e-4
+
+
+def test_weights_are_averaged_by_tokens(spark):
+    """Training over several tasks equals plain loops over their rows, weighted by tokens."""
+    rows = [(t,) for _, t in corpus(60)]
+    df = spark.createDataFrame(rows, "text string").repartition(3).cache()
+    vocab, _ = lm.vocabulary(lm.count_words(df))
+    total, seen = None, 0
+    for part in df.rdd.glom().collect():
+        t = lm.Trainer()
+        raw = [r.text.encode() for r in part]
+        tokens, first = vocab.tokens(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        around = lm.windows(tokens, first)
+        for a in range(0, len(tokens), lm.BATCH):
+            t.batch(around[:, a : a + lm.BATCH], tokens[a : a + lm.BATCH])
+        w = [x.astype(np.float64) * t.seen for x in t.w]
+        total = w if total is None else [x + y for x, y in zip(total, w, strict=True)]
+        seen += t.seen
+    assert all(np.allclose(x, y / seen, atol=1e-5) for x, y in zip(lm.train(df, vocab), total, strict=True))
+
+
+def test_long_text_and_every_text_its_own_windows(spark):
+    long = " ".join(f"w{i % 50}" for i in range(300_000))
+    df = spark.createDataFrame([(1, long), (2, "w1 w2 w3"), (3, "w1 w2 w3")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score_documents(df).collect()}
+    assert got[1].n_tokens == 300_000 and abs(got[2].log_prob - got[3].log_prob) < 1e-4

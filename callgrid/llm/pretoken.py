@@ -96,16 +96,18 @@ def split(texts: list[str], kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the spans, none of them empty."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    return _hashed(*_laid_out(points, starts, ends)) if len(starts) else np.zeros(0, np.uint64)
+
+
+def _laid_out(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points of all spans, their places in the spans, sizes)."""
     size = ends - starts
     place = places(size)
-    return mix64(placed_sums(points[place + np.repeat(starts, size)], place, size, 21) + size.astype(np.uint64))
+    return points[place + np.repeat(starts, size)], place, size
 
 
-def _symbols(points: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The code points of the spans, one span after the other."""
-    return points[places(size) + np.repeat(starts, size)]
+def _hashed(symbols: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return mix64(placed_sums(symbols, place, size, 21) + size.astype(np.uint64))
 
 
 class WordIds:
@@ -127,43 +129,38 @@ class WordIds:
         self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.begin, self.length, self.text = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _add(self, points: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def _add(self, points: np.ndarray, starts: np.ndarray, size: np.ndarray) -> list[int]:
         """Encode these words; their numbers in the table."""
-        words = [points[a : a + n].tobytes().decode("utf-32-le", "surrogatepass") for a, n in zip(starts.tolist(), size.tolist(), strict=True)]
-        ids, sizes = self.encode(words)
+        symbols, stops = _laid_out(points, starts, starts + size)[0], np.cumsum(size)
+        text = symbols.tobytes().decode("utf-32-le", "surrogatepass")
+        ids, sizes = self.encode([text[a:b] for a, b in zip((stops - size).tolist(), stops.tolist(), strict=True)])
         first = len(self.start)
         self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(sizes) - sizes))
         self.size = np.concatenate((self.size, sizes))
         self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
-        self.begin = np.concatenate((self.begin, len(self.text) + np.cumsum(size) - size))
+        self.begin = np.concatenate((self.begin, len(self.text) + stops - size))
         self.length = np.concatenate((self.length, size))
-        self.text = np.concatenate((self.text, _symbols(points, starts, size)))
-        return np.arange(first, len(self.start))
-
-    def _unlike(self, known: np.ndarray, points: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """The words that are not the stored ones."""
-        other = self.length[known] != size
-        at = np.where(other, 0, known)
-        n = np.where(other, 1, size)
-        begin = np.cumsum(n) - n
-        differs = _symbols(points, starts, n) != _symbols(self.text, self.begin[at], n)
-        return np.flatnonzero(other | np.logical_or.reduceat(differs, begin))
+        self.text = np.concatenate((self.text, symbols))
+        return list(range(first, len(self.start)))
 
     def of(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, their number for each word)."""
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        length = ends - starts
-        hashes, at, back = np.unique(span_hashes(points, starts, ends), return_index=True, return_inverse=True)
+        symbols, place, length = _laid_out(points, starts, ends)
+        hashes, at, back = np.unique(_hashed(symbols, place, length), return_index=True, return_inverse=True)
         if len(self.index) > self.most or len(self.text) > self.MOST_POINTS:
             self.clear()
         keys = hashes.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.index]
+        found = list(map(self.index.get, keys))
+        new = [i for i, k in enumerate(found) if k is None]
         if new:
-            self.index.update(zip([keys[i] for i in new], self._add(points, starts[at[new]], length[at[new]]).tolist(), strict=True))
-        known = np.fromiter((self.index[h] for h in keys), np.int64, len(keys))[back]
+            for i, k in zip(new, self._add(points, starts[at[new]], length[at[new]]), strict=True):
+                found[i] = self.index[keys[i]] = k
+        known = np.array(found, np.int64)[back]
         # words whose hash another word has
-        odd = self._unlike(known, points, starts, length)
+        differs = symbols != self.text.take(place + np.repeat(self.begin[known], length), mode="clip")
+        odd = np.flatnonzero((self.length[known] != length) | np.logical_or.reduceat(differs, np.cumsum(length) - length)) if differs.any() or (self.length[known] != length).any() else ()
         if len(odd):
             known[odd] = self._add(points, starts[odd], length[odd])
         size = self.size[known]

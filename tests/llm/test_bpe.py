@@ -37,7 +37,7 @@ def test_words_of_equal_hashes_keep_their_ids(path, make, monkeypatch):
     want = [lib.encode(t, add_special_tokens=False).ids for t in all_]
     assert [x.tolist() for x in make(path).encode(all_)] == want
     # all hashes into 20 values: nearly every word meets another one's entry
-    monkeypatch.setattr(pretoken, "span_hashes", lambda *a, f=pretoken.span_hashes: f(*a) % np.uint64(20))
+    monkeypatch.setattr(pretoken, "_hashed", lambda *a, f=pretoken._hashed: f(*a) % np.uint64(20))
     own = make(path)
     assert [x.tolist() for x in own.encode(all_)] == want and [x.tolist() for x in own.encode(all_)] == want
 

@@ -330,20 +330,23 @@ def _parsed(spark: SparkSession, sf_dir: str, keep_raw: bool = False) -> DataFra
     return O.parse_column(_texts(spark, sf_dir), "raw", "region", keep_raw=keep_raw)
 
 
-@query(f"WITH {_RAW}, {Q.codes()}, {Q.parsed_plus()} SELECT key, cc AS country_code, n AS national_number FROM plus")
+_PARSED = f"{_RAW}, {Q.regions_for_parsing()}, {Q.parsed('written')}"
+
+
+@query(f"WITH {_PARSED} SELECT key, cc AS country_code, n AS national_number FROM parsed WHERE origin IN ('FROM_NUMBER_WITH_PLUS_SIGN', 'FROM_NUMBER_WITH_IDD')")
 def parse_international(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts written with a plus and digits only, of codes whose numbers lose no prefix."""
-    t = _texts(spark, sf_dir).where(F.col("raw").rlike(r"^\+[0-9]+$") & F.col("cc").isin(*Q.PLAIN_CODES))
-    p = O.parse_column(t, "raw", "region").where("parsed.ok")
-    return p.select("key", F.col("parsed.phone.country_code").alias("country_code"), F.col("parsed.phone.national_number").alias("national_number"))
+    """The texts of all customers that turn out to be dialled with a calling code."""
+    p = F.col("parsed.phone")
+    t = _parsed(spark, sf_dir, True).where(p["country_code_source"].isin("FROM_NUMBER_WITH_PLUS_SIGN", "FROM_NUMBER_WITH_IDD"))
+    return t.select("key", p["country_code"].alias("country_code"), p["national_number"].alias("national_number"))
 
 
-@query()
+@query(f"WITH {_PARSED} SELECT key, raw, region, error IS NULL AS ok, error, error_detail, cc AS country_code, n AS national_number, ext AS extension, zero AS italian_leading_zero FROM parsed")
 def parse_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir).select("key", "raw", "region", "parsed.ok", "parsed.error", "parsed.error_detail", "parsed.phone.country_code", "parsed.phone.national_number", "parsed.phone.extension", "parsed.phone.italian_leading_zero")
 
 
-@query()
+@query(f"WITH {_PARSED} SELECT key, CASE WHEN error IS NULL THEN raw END AS raw_input, origin AS country_code_source, carrier AS preferred_domestic_carrier_code, zeros AS number_of_leading_zeros FROM parsed")
 def parse_keep_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = "parsed.phone"
     return _parsed(spark, sf_dir, True).select("key", f"{p}.raw_input", f"{p}.country_code_source", f"{p}.preferred_domestic_carrier_code", f"{p}.number_of_leading_zeros")

@@ -8,10 +8,6 @@ from callgrid.plans import default_plan
 from callgrid.plans.loader import SPECIAL_TYPES, TYPES
 from callgrid.plans.tables import KINDS
 
-#: Codes whose numbers carry no national prefix that a parser would remove.
-PLAIN_CODES = (65, 800, 979, 376)
-
-
 def quoted(s) -> str:
     if s is None:
         return "NULL"
@@ -136,10 +132,83 @@ areas AS (SELECT *, CASE WHEN number_region IN ('ZZ', '001') OR (national_prefix
   OR NOT (number_type IN ('FIXED_LINE', 'FIXED_LINE_OR_MOBILE') OR (number_type = 'MOBILE' AND cc IN (52, 54, 55, 62, 86))) THEN 0 ELSE ndc_length END AS area_code_length FROM lengths)"""
 
 
-def parsed_plus() -> str:
-    """plus: texts of a plus and digits whose code is one of PLAIN_CODES, parsed."""
-    return f"""plus AS (SELECT key, w.cc, CAST(substr(raw, 2 + length(CAST(w.cc AS VARCHAR))) AS BIGINT) AS n FROM written w
-  WHERE regexp_full_match(raw, '\\+[0-9]+') AND w.cc IN ({', '.join(map(str, PLAIN_CODES))}))"""
+# Fixed values, written out for the oracle alone: the syntax of a number, extensions, the keypad.
+_MARKS = r"-x\x{2010}-\x{2015}\x{2212}\x{30fc}\x{ff0d}-\x{ff0f} \x{a0}\x{ad}\x{200b}\x{2060}\x{3000}()\x{ff08}\x{ff09}\x{ff3b}\x{ff3d}.\[\]/~\x{2053}\x{223c}"
+_NUMBER = rf"(?:[+\x{{ff0b}}]*(?:[{_MARKS}*]*\p{{Nd}}){{3,}}[{_MARKS}*\p{{Nd}}a-z]*|\p{{Nd}}{{2}})"
+_EXTENSIONS = (
+    r";ext=(\p{Nd}{1,20})",
+    r"[ \x{a0}\t,]*(?:e?xt(?:ensi(?:o\x{301}?|\x{f3}))?n?|\x{ff45}?\x{ff58}\x{ff54}\x{ff4e}?|доб|anexo)[:.\x{ff0e}]?[ \x{a0}\t,-]*(\p{Nd}{1,20})#?",
+    r"[ \x{a0}\t,]*(?:[x\x{ff58}#\x{ff03}~\x{ff5e}]|int|\x{ff49}\x{ff4e}\x{ff54})[:.\x{ff0e}]?[ \x{a0}\t,-]*(\p{Nd}{1,9})#?",
+    r"[- ]+(\p{Nd}{1,6})#",
+    r"[ \x{a0}\t]*(?:,{2}|;)[:.\x{ff0e}]?[ \x{a0}\t,-]*(\p{Nd}{1,15})#?",
+    r"[ \x{a0}\t]*,+[:.\x{ff0e}]?[ \x{a0}\t,-]*(\p{Nd}{1,9})#?",
+)
+_KEYS = ("abcdefghijklmnopqrstuvwxyz", "22233344455566677778889999")
+
+
+def regions_for_parsing() -> str:
+    """rp: what a parser reads of each region; mp: the same of each code's main record."""
+    plan = default_plan()
+    cells = lambda r: (r.international_prefix, r.national_prefix_for_parsing, re2(r.national_prefix_transform_rule), r.general.pattern, r.lengths("general"), r.general.local_lengths)
+    names = "idd, np, rule, gen_p, gen_l, gen_o"
+    return ",\n".join((
+        values("rp", f"region, cc, {names}", [(i, r.country_code, *cells(r)) for i, r in plan.regions.items()]),
+        values("mp", f"cc, main, {names}", [(c, plan.main_region(c), *cells(plan.main_record(c))) for c in plan.by_code]),
+    ))
+
+
+def _digits(s: str) -> str:
+    """The digits of a text; letters by their keys where there are three or more."""
+    plain = f"translate({s}, '０１２３４５６７８９', '0123456789')"
+    return f"CASE WHEN length(regexp_replace({s}, '[^A-Za-z]', '', 'g')) >= 3 THEN regexp_replace(translate(lower({s}), '{_KEYS[0]}', '{_KEYS[1]}'), '[^0-9]', '', 'g') ELSE regexp_replace({plain}, '[^0-9]', '', 'g') END"
+
+
+def _length(n: str, lengths: str, local: str) -> str:
+    return f"""CASE WHEN len({lengths}) = 0 OR {lengths}[1] = -1 THEN 'INVALID_LENGTH' WHEN list_contains({local}, length({n})) THEN 'IS_POSSIBLE_LOCAL_ONLY'
+  WHEN length({n}) < {lengths}[1] THEN 'TOO_SHORT' WHEN length({n}) > {lengths}[-1] THEN 'TOO_LONG' WHEN list_contains({lengths}, length({n})) THEN 'IS_POSSIBLE' ELSE 'INVALID_LENGTH' END"""
+
+
+def parsed(source: str, name: str = "parsed") -> str:
+    """`name`: the texts (key, raw, region) of `source`, parsed; needs regions_for_parsing. For texts
+    without a phone context, isub or a second number. A row: error and error_detail, or else cc, n,
+    nsn, ext, zero, zeros, origin and carrier."""
+    x = name
+    extension = "|".join(_EXTENSIONS)
+    groups = ", ".join(f"nullif(regexp_extract(t, {quoted(f'(?i)^(?:.*?)(?:{extension})$')}, {k + 1}), '')" for k in range(len(_EXTENSIONS)))
+    return f"""{x}_a AS (SELECT key, raw, region, regexp_replace(regexp_extract(coalesce(raw, ''), '(?s)[+＋\\p{{Nd}}].*'), '[^\\p{{N}}\\p{{L}}#]+$', '') AS t FROM {source}),
+{x}_b AS (SELECT *, t = '' AS none, strlen(t) >= 2 AND regexp_full_match(t, {quoted(f'(?i){_NUMBER}(?:{extension})?')}) AS viable,
+  regexp_extract(t, {quoted(f'(?i)^(.*?)(?:{extension})$')}, 1) AS body, coalesce({groups}) AS e FROM {x}_a),
+{x}_c AS (SELECT b.*, rp.* EXCLUDE (region), e IS NOT NULL AND strlen(body) >= 2 AND regexp_full_match(body, {quoted(f'(?i){_NUMBER}(?:{extension})?')}) AS cut,
+  CASE WHEN e IS NOT NULL AND strlen(body) >= 2 AND regexp_full_match(body, {quoted(f'(?i){_NUMBER}(?:{extension})?')}) THEN body ELSE t END AS num FROM {x}_b b LEFT JOIN rp ON rp.region = b.region),
+{x}_d AS (SELECT *, regexp_matches(num, '^[+＋]') AS plus FROM {x}_c),
+{x}_e AS (SELECT *, 1 AS try, plus AS signed, regexp_replace(num, '^[+＋]+', '') AS rest FROM {x}_d WHERE viable UNION ALL SELECT *, 2, false, regexp_replace(num, '^[+＋]+', '') FROM {x}_d WHERE viable AND plus),
+{x}_f AS (SELECT *, {_digits('rest')} AS digits FROM {x}_e),
+{x}_g AS (SELECT *, regexp_replace(digits, '^(?:' || idd || ')', '') AS after, regexp_matches(digits, '^(?:' || idd || ')') AS dialled FROM {x}_f),
+{x}_h AS (SELECT *, CASE WHEN signed THEN 'FROM_NUMBER_WITH_PLUS_SIGN' WHEN dialled AND left(after, 1) <> '0' THEN 'FROM_NUMBER_WITH_IDD' END AS via FROM {x}_g),
+{x}_i AS (SELECT *, CASE WHEN via = 'FROM_NUMBER_WITH_IDD' THEN after ELSE digits END AS d,
+  via IS NULL AND starts_with(digits, cc::VARCHAR) AND ((NOT regexp_full_match(digits, gen_p) AND regexp_full_match(substr(digits, 1 + length(cc::VARCHAR)), gen_p)) OR {_length('digits', 'gen_l', 'gen_o')} = 'TOO_LONG') AS own FROM {x}_h),
+{x}_j AS (SELECT i.*, (SELECT min(length(mp.cc::VARCHAR)) FROM mp WHERE via IS NOT NULL AND starts_with(d, mp.cc::VARCHAR)) AS k FROM {x}_i i),
+{x}_k AS (SELECT *, CASE WHEN via IS NOT NULL AND length(d) <= 2 THEN 'TOO_SHORT_AFTER_IDD' WHEN via IS NOT NULL AND k IS NULL THEN 'INVALID_COUNTRY_CODE' END AS bad,
+  CASE WHEN via IS NOT NULL THEN substr(d, 1, k)::INTEGER WHEN own THEN cc ELSE 0 END AS code,
+  CASE WHEN via IS NOT NULL THEN substr(d, k + 1) WHEN own THEN substr(d, 1 + length(cc::VARCHAR)) ELSE d END AS national,
+  coalesce(via, CASE WHEN own THEN 'FROM_NUMBER_WITHOUT_PLUS_SIGN' ELSE 'FROM_DEFAULT_COUNTRY' END) AS origin FROM {x}_j),
+{x}_l AS (SELECT a.key, CASE WHEN a.bad = 'INVALID_COUNTRY_CODE' AND b.key IS NOT NULL THEN struct_pack(bad := CASE WHEN b.bad IS NULL AND b.code = 0 THEN 'INVALID_COUNTRY_CODE' ELSE b.bad END, code := b.code, n := b.national, origin := b.origin)
+  ELSE struct_pack(bad := a.bad, code := a.code, n := a.national, origin := a.origin) END AS x FROM {x}_k a LEFT JOIN {x}_k b ON b.key = a.key AND b.try = 2 WHERE a.try = 1),
+{x}_m AS (SELECT d.key, d.raw, d.region, CASE WHEN cut THEN e END AS e, x.origin, x.n AS n0, CASE WHEN x.code = 0 THEN d.cc ELSE x.code END AS cc,
+  CASE WHEN none THEN 'NOT_A_NUMBER' WHEN NOT viable THEN 'NOT_A_NUMBER' WHEN d.cc IS NULL AND NOT plus THEN 'INVALID_COUNTRY_CODE' ELSE x.bad END AS bad,
+  CASE WHEN none THEN 'NO_VALID_START_CHARACTER' WHEN NOT viable THEN 'NOT_MATCHED_VALID_NUMBER_PATTERN' END AS detail,
+  CASE WHEN x.code <> 0 AND mp.main IS DISTINCT FROM d.region THEN struct_pack(np := mp.np, rule := mp.rule, p := mp.gen_p, l := mp.gen_l, o := mp.gen_o) WHEN d.cc IS NOT NULL THEN struct_pack(np := d.np, rule := d.rule, p := d.gen_p, l := d.gen_l, o := d.gen_o) END AS r
+  FROM {x}_d d LEFT JOIN {x}_l USING (key) LEFT JOIN mp ON mp.cc = x.code),
+{x}_n AS (SELECT *, coalesce(r.np, '') <> '' AND regexp_matches(n0, '^(?:' || r.np || ')') AS prefixed, regexp_extract(n0, '^(?:' || r.np || ')()', 1) AS g FROM {x}_m),
+{x}_o AS (SELECT *, CASE WHEN NOT prefixed THEN n0 WHEN r.rule <> '' AND g <> '' THEN regexp_replace(n0, '^(?:' || r.np || ')', r.rule) ELSE regexp_replace(n0, '^(?:' || r.np || ')', '') END AS changed,
+  CASE WHEN prefixed AND NOT (r.rule <> '' AND g <> '') THEN nullif(g, '') END AS c FROM {x}_n),
+{x}_p AS (SELECT *, coalesce(prefixed AND NOT (regexp_full_match(n0, r.p) AND NOT regexp_full_match(changed, r.p)) AND {_length('changed', 'r.l', 'r.o')} NOT IN ('IS_POSSIBLE_LOCAL_ONLY', 'TOO_SHORT', 'INVALID_LENGTH'), false) AS strip FROM {x}_o),
+{x}_q AS (SELECT *, CASE WHEN strip THEN changed ELSE n0 END AS nsn0, CASE WHEN strip THEN c END AS carrier0 FROM {x}_p),
+{x}_r AS (SELECT *, coalesce(bad, CASE WHEN length(n0) < 2 OR length(nsn0) < 2 THEN 'TOO_SHORT_NSN' WHEN length(nsn0) > 17 THEN 'TOO_LONG_NSN' END) AS error,
+  CASE WHEN length(nsn0) >= 2 AND starts_with(nsn0, '0') THEN length(nsn0) - length(ltrim(nsn0, '0')) - CASE WHEN ltrim(nsn0, '0') = '' THEN 1 ELSE 0 END END AS z FROM {x}_q),
+{x} AS (SELECT key, raw, region, error, CASE WHEN bad = 'NOT_A_NUMBER' THEN detail END AS error_detail, CASE WHEN error IS NULL THEN cc END AS cc, CASE WHEN error IS NULL THEN nsn0::BIGINT END AS n,
+  CASE WHEN error IS NULL THEN repeat('0', coalesce(z, 0)) || nsn0::BIGINT END AS nsn, CASE WHEN error IS NULL THEN e END AS ext, CASE WHEN error IS NULL AND z IS NOT NULL THEN true END AS zero,
+  CASE WHEN error IS NULL AND z > 1 THEN z::INTEGER END AS zeros, CASE WHEN error IS NULL THEN origin END AS origin, CASE WHEN error IS NULL THEN carrier0 END AS carrier FROM {x}_r)"""
 
 
 def types() -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callgrid.functions import native as N
@@ -223,7 +223,7 @@ def area_code_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- comparison
 
 
-@query(f"""WITH {_NUMBERS}, a AS (SELECT key AS id, cc, national_number AS n, zero, ext FROM numbers WHERE key % 3 <> 0),
+@query(f"""WITH {_NUMBERS}, a AS (SELECT key AS id, cc, national_number AS n, zero, ext FROM numbers),
 b AS (SELECT key AS id, CASE WHEN key % 5 = 0 THEN 0 ELSE cc END AS cc, CASE WHEN key % 4 = 0 THEN national_number % 1000000 ELSE national_number END AS n, zero, ext FROM numbers),
 p AS (SELECT a.id AS a_id, b.id AS b_id, CASE WHEN a.ext <> b.ext THEN 'NO_MATCH' WHEN a.cc <> 0 AND b.cc <> 0 AND a.cc <> b.cc THEN 'NO_MATCH'
   WHEN a.n = b.n AND a.ext IS NOT DISTINCT FROM b.ext AND a.zero = b.zero THEN CASE WHEN a.cc <> 0 AND b.cc <> 0 THEN 'EXACT_MATCH' ELSE 'NSN_MATCH' END
@@ -231,13 +231,7 @@ p AS (SELECT a.id AS a_id, b.id AS b_id, CASE WHEN a.ext <> b.ext THEN 'NO_MATCH
   FROM a, b)
 SELECT a_id, b_id, match FROM p WHERE match <> 'NO_MATCH'""")
 def match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As its SQL says, the left side leaves out a third of the ids; match_all_pairs doesn't."""
-    d = _customers(spark, sf_dir).withColumnRenamed("key", "id")
-    return O.match_numbers(d.where("id % 3 <> 0"), _altered(d))
-
-
-@query()
-def match_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers' numbers against all of them in altered form."""
     d = _customers(spark, sf_dir).withColumnRenamed("key", "id")
     return O.match_numbers(d, _altered(d))
 
@@ -352,40 +346,89 @@ def parse_keep_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir, True).select("key", f"{p}.raw_input", f"{p}.country_code_source", f"{p}.preferred_domestic_carrier_code", f"{p}.number_of_leading_zeros")
 
 
-@query()
-def parsed_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _parsed(spark, sf_dir, True).select("key", F.col("parsed.phone").alias("p")).where("p is not null")
+_PHONES = f"{_PARSED}, phones AS (SELECT * FROM parsed WHERE error IS NULL)"
+_PHONE_CLASS = f"{_PHONES}, {Q.regions()}, {Q.classified('phones')}, {Q.formats()}"
+_CALLER = "CASE key % 5 WHEN 0 THEN 'US' WHEN 1 THEN 'AU' WHEN 2 THEN 'MX' WHEN 3 THEN 'UZ' ELSE 'ZZ' END"
+_DIALLED = f"{_PHONE_CLASS}, dialling AS (SELECT *, {_CALLER} AS caller FROM phones), {Q.formatted('dialling')}, {Q.callers()}, {Q.abroad()}"
+
+
+def _phones(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    """(key, p: the parsed number with its raw text) of all texts that are numbers; its caller."""
     caller = F.get(F.array(*map(F.lit, ("US", "AU", "MX", "UZ", "ZZ"))), F.pmod(F.col("key"), F.lit(5)).cast("int"))
-    return p.select(
-        "key", *(V.format(F.col("p"), k).alias(k.lower()) for k in O.KINDS), V.format_original(F.col("p"), caller).alias("original"), V.format_abroad(F.col("p"), caller).alias("abroad"),
-        V.format_abroad_keeping_letters(F.col("p"), caller).alias("abroad_letters"), V.format_for_mobile(F.col("p"), caller).alias("mobile"),
-        V.format_with_carrier(F.col("p"), F.lit("15")).alias("carrier"), V.format_with_carrier(F.col("p"), F.lit("15"), preferred=True).alias("preferred_carrier"),
-    )
+    return _parsed(spark, sf_dir, True).select("key", F.col("parsed.phone").alias("p")).where("p is not null"), caller
+
+
+@query(f"WITH {_PHONE_CLASS}, {Q.formatted('phones')} SELECT key, e164, international_format AS international, national_format AS national, rfc3966_format AS rfc3966 FROM formatted")
+def parsed_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _ = _phones(spark, sf_dir)
+    return p.select("key", *(V.format(F.col("p"), k).alias(k.lower()) for k in O.KINDS))
+
+
+@query(f"WITH {_PHONE_CLASS}, {Q.formatted('phones')} SELECT key, by_carrier || label AS carrier, CASE WHEN formatted.carrier IS NULL THEN by_carrier || label END AS preferred FROM formatted")
+def carrier_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a given carrier code, and with the number's own where it has none of its own."""
+    p, _ = _phones(spark, sf_dir)
+    own = F.col("p.preferred_domestic_carrier_code").isNull()
+    return p.select("key", V.format_with_carrier(F.col("p"), F.lit(Q.CARRIER)).alias("carrier"), F.when(own, V.format_with_carrier(F.col("p"), F.lit(Q.CARRIER), preferred=True)).alias("preferred"))
+
+
+@query(f"WITH {_DIALLED} SELECT key, caller, abroad, mobile FROM mobile")
+def formats_for_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As dialled from another region, and as dialled with a mobile there."""
+    p, caller = _phones(spark, sf_dir)
+    return p.select("key", caller.alias("caller"), V.format_abroad(F.col("p"), caller).alias("abroad"), V.format_for_mobile(F.col("p"), caller).alias("mobile"))
+
+
+_BARE = "regexp_replace(translate(raw, '０１２３４５６７８９', '0123456789'), '[^0-9]', '', 'g')"
+_AGAIN = f"""ndd0 AS (SELECT p.key, mp.main AS region, substr({_BARE}, 1 + length(pre)) AS raw, mp.cc AS cc0 FROM phones p JOIN mp ON mp.cc = p.cc JOIN (SELECT cc AS pcc, replace(coalesce(national_prefix, ''), '~', '') AS pre FROM plan WHERE rank = 0 AND region <> '001') ON pcc = p.cc
+  WHERE starts_with({_BARE}, pre)), {Q.parsed('ndd0', 'again0')}, again1 AS (SELECT * FROM again0 WHERE error IS NULL)"""
+
+
+@query(f"WITH {_DIALLED}, {_AGAIN}, {Q.classified('again1', 'again_')}, again AS (SELECT key, number_type <> 'UNKNOWN' AS ok FROM again_classified), {Q.original()} SELECT key, original FROM original")
+def original_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, caller = _phones(spark, sf_dir)
+    return p.select("key", V.format_original(F.col("p"), caller).alias("original"))
 
 
 @query()
+def formats_keeping_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, caller = _phones(spark, sf_dir)
+    return p.select("key", V.format_abroad_keeping_letters(F.col("p"), caller).alias("abroad_letters"))
+
+
+@query(f"""WITH {_PHONE_CLASS}, {Q.formatted('phones')}, {Q.area_codes()}, us AS (SELECT key, bool_or(t <> 'UNKNOWN') AS us FROM typed WHERE preg = 'US' GROUP BY key)
+SELECT key, a.number_region, a.number_type, a.number_type <> 'UNKNOWN' AS is_valid, coalesce(us, false) AS is_valid_us, area_code_length, ndc_length FROM areas a LEFT JOIN us USING (key)""")
 def parsed_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parsed(spark, sf_dir).select("key", F.col("parsed.phone").alias("p")).where("p is not null")
     n = F.col("p")
     return p.select("key", V.region(n).alias("number_region"), V.number_type(n).alias("number_type"), V.is_valid(n).alias("is_valid"), V.is_valid_for_region(n, F.lit("US")).alias("is_valid_us"), V.area_code_length(n).alias("area_code_length"), V.destination_code_length(n).alias("ndc_length"))
 
 
-@query()
+@query(f"WITH {_PHONES}, {Q.codes()}, {Q.reason('phones', 'general')} SELECT key, coalesce(reason IN ('IS_POSSIBLE', 'IS_POSSIBLE_LOCAL_ONLY'), false) AS possible FROM written LEFT JOIN reasons USING (key)")
 def possible_for_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("key", V.is_possible_text(F.col("raw"), F.col("region")).alias("possible"))
 
 
-@query()
+_TEMPLATES = [(cc, i, f.format, f.national_prefix_rule or "") for cc in default_plan().by_code for i, f in enumerate(default_plan().main_record(cc).formats)]
+
+
+@query(rf"""WITH {Q.values('t', 'cc, place, template, rule', _TEMPLATES)} SELECT cc, place, template,
+regexp_full_match(template, '[-x ()./~]*\$1[-x ()./~]*(\$[0-9][-x ()./~]*)*') AS as_you_type, regexp_full_match(rule, '(\(?\$1\)?)?') AS first_group_only FROM t""")
 def format_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan's national templates: fit for as-you-type formatting, rule of the first group only."""
-    plan = default_plan()
-    rows = [(cc, i, f.format, f.national_prefix_rule) for cc in plan.by_code for i, f in enumerate(plan.main_record(cc).formats)]
-    t = spark.createDataFrame(rows, "cc int, place int, template string, rule string")
-    only = F.coalesce(F.col("rule"), F.lit("")).rlike(r"^(\(?\$1\)?)?\z")
+    t = spark.createDataFrame(_TEMPLATES, "cc int, place int, template string, rule string")
+    only = F.col("rule").rlike(r"^(\(?\$1\)?)?\z")
     return t.select("cc", "place", "template", F.col("template").rlike(rf"^(?:{T.AS_YOU_TYPE.pattern})\z").alias("as_you_type"), only.alias("first_group_only"))
 
 
-@query()
+_CUTS = "c.cc, c.zero, (c.national_number * 100 + 1) // CAST(10 ** k AS BIGINT) AS n"
+
+
+@query(f"""WITH {_NUMBERS}, cuts AS (SELECT c.key * 100 + k AS key, k, c.key AS own, {_CUTS}, (CASE WHEN c.zero THEN '0' ELSE '' END) || CAST((c.national_number * 100 + 1) // CAST(10 ** k AS BIGINT) AS VARCHAR) AS nsn FROM numbers c, range(0, 18) AS r(k)),
+{Q.regions()}, {Q.classified('cuts')}, {Q.codes()}, {Q.reason('cuts', 'general')},
+j AS (SELECT own, k, cuts.cc, n, number_type <> 'UNKNOWN' AS ok, k > 0 AND (n = 0 OR reason = 'TOO_SHORT') AS ends FROM cuts JOIN classified USING (key) JOIN reasons USING (key)),
+f AS (SELECT own, min(k) FILTER (ok) AS good, min(k) FILTER (ends) AS stop FROM j GROUP BY own)
+SELECT f.own AS key, j.cc AS country_code, j.n AS national_number FROM f LEFT JOIN j ON j.own = f.own AND k = good AND good < coalesce(stop, 99)""")
 def truncate_too_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _customers(spark, sf_dir)
     fields = [F.col("cc").alias("country_code"), (F.col("national_number") * 100 + 1).alias("national_number"), F.lit(None).cast("string").alias("extension"), F.col("zero").alias("italian_leading_zero"), F.col("zeros").alias("number_of_leading_zeros")]
@@ -400,19 +443,29 @@ def match_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("key", V.match_texts(F.col("raw"), F.col("other")).alias("match"))
 
 
-@query()
+_EXAMPLES = f"""{Q.types()}, {Q.regions_for_parsing()}, {Q.regions()},
+given AS (SELECT row_number() OVER (ORDER BY region, cc, type) AS key, region AS home, cc AS own, type, CASE WHEN region = '001' THEN '+' || cc || example ELSE example END AS raw, CASE WHEN region = '001' THEN 'ZZ' ELSE region END AS region FROM types),
+{Q.parsed('given')}, ex AS (SELECT g.home, g.own, g.type, g.raw, p.* EXCLUDE (raw, region) FROM given g JOIN parsed p USING (key))"""
+
+
+@query(f"""WITH {_EXAMPLES}, short AS (SELECT key * 100 + k AS key, home AS region, left(raw, k) AS raw, home, k FROM ex, range(2, 18) AS r(k) WHERE type = 'FIXED_LINE' AND home <> '001' AND k < length(raw)),
+{Q.parsed('short', 'cut')}, tried AS (SELECT * FROM cut WHERE error IS NULL), {Q.classified('tried')},
+bad AS (SELECT home, arg_max(n, k) AS invalid_number FROM short JOIN tried USING (key) JOIN classified c USING (key) WHERE number_type = 'UNKNOWN' GROUP BY home)
+SELECT home AS region, type, cc AS country_code, n AS national_number, invalid_number FROM ex LEFT JOIN bad USING (home) WHERE home <> '001'""")
 def example_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables.type_rows(spark, default_plan()).where("region <> '001'").select("region", "type", V.example(F.col("region"), F.col("type")).alias("p"), V.invalid_example(F.col("region")).alias("bad"))
     return t.select("region", "type", F.col("p.country_code"), F.col("p.national_number"), F.col("bad.national_number").alias("invalid_number"))
 
 
-@query()
+@query(f"""WITH {_EXAMPLES} SELECT type, arg_min(cc, (CASE WHEN home = '001' THEN own::VARCHAR ELSE '' END, home)) FILTER (error IS NULL) AS country_code,
+arg_min(n, (CASE WHEN home = '001' THEN own::VARCHAR ELSE '' END, home)) FILTER (error IS NULL) AS national_number FROM ex GROUP BY type""")
 def example_numbers_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables.type_rows(spark, default_plan()).select("type").distinct().select("type", V.example_of_type(F.col("type")).alias("p"))
     return t.select("type", F.col("p.country_code"), F.col("p.national_number"))
 
 
-@query()
+@query(f"""WITH {_EXAMPLES} SELECT own AS cc, arg_min(n, list_position(['MOBILE', 'TOLL_FREE', 'SHARED_COST', 'VOIP', 'VOICEMAIL', 'UAN', 'PREMIUM_RATE'], type)) FILTER (raw IS NOT NULL AND type NOT IN ('FIXED_LINE', 'PERSONAL_NUMBER', 'PAGER')) AS national_number
+FROM ex WHERE home = '001' GROUP BY own""")
 def example_numbers_non_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables.regions(spark, default_plan()).where("is_non_geo").select("cc", V.example_non_geo(F.col("cc")).alias("p"))
     return t.select("cc", F.col("p.national_number"))

@@ -8,6 +8,10 @@ from callgrid.plans import default_plan
 from callgrid.plans.loader import SPECIAL_TYPES, TYPES
 from callgrid.plans.tables import KINDS
 
+#: The carrier that the queries dial with.
+CARRIER = "15"
+
+
 def quoted(s) -> str:
     if s is None:
         return "NULL"
@@ -56,18 +60,18 @@ def _holds(kind: str) -> str:
     return f"coalesce((len({kind}_l) = 0 OR list_contains({kind}_l, length(nsn))) AND regexp_full_match(nsn, {kind}_p), false)"
 
 
-def classified(numbers: str) -> str:
+def classified(numbers: str, pre: str = "") -> str:
     """classified: region, type and whether a number can be dialled from abroad."""
     special = " ".join(f"WHEN {_holds(k)} THEN '{k.upper()}'" for k in SPECIAL_TYPES)
-    return f"""typed AS (SELECT key, {numbers}.cc AS ncc, nsn, zero, rank, n_regions, region AS preg, lead_p, national_prefix, {_holds('no_international_dialling')} AS barred,
+    return f"""{pre}typed AS (SELECT key, {numbers}.cc AS ncc, nsn, zero, rank, n_regions, region AS preg, lead_p, national_prefix, {_holds('no_international_dialling')} AS barred,
   CASE WHEN NOT {_holds('general')} THEN 'UNKNOWN' {special}
   WHEN {_holds('fixed_line')} THEN CASE WHEN same OR {_holds('mobile')} THEN 'FIXED_LINE_OR_MOBILE' ELSE 'FIXED_LINE' END
   WHEN NOT same AND {_holds('mobile')} THEN 'MOBILE' ELSE 'UNKNOWN' END AS t
   FROM (SELECT key, cc, nsn, zero FROM {numbers}) AS {numbers} LEFT JOIN plan ON plan.cc = {numbers}.cc),
-claimed AS (SELECT key, arg_min(struct_pack(r := preg, t := t, barred := barred, np := national_prefix), rank) AS x FROM typed
+{pre}claimed AS (SELECT key, arg_min(struct_pack(r := preg, t := t, barred := barred, np := national_prefix), rank) AS x FROM {pre}typed
   WHERE preg IS NOT NULL AND (n_regions = 1 OR coalesce(regexp_matches(nsn, '^(?:' || lead_p || ')'), false) OR t <> 'UNKNOWN') GROUP BY key),
-classified AS (SELECT n.key, n.cc, n.nsn, n.zero, coalesce(x.r, 'ZZ') AS number_region, coalesce(x.t, 'UNKNOWN') AS number_type,
-  NOT coalesce(x.r <> '001' AND x.barred, false) AS dialled_abroad, x.np AS national_prefix FROM {numbers} n LEFT JOIN claimed USING (key))"""
+{pre}classified AS (SELECT n.key, n.cc, n.nsn, n.zero, coalesce(x.r, 'ZZ') AS number_region, coalesce(x.t, 'UNKNOWN') AS number_type,
+  NOT coalesce(x.r <> '001' AND x.barred, false) AS dialled_abroad, x.np AS national_prefix FROM {numbers} n LEFT JOIN {pre}claimed USING (key))"""
 
 
 def codes() -> str:
@@ -103,21 +107,21 @@ def formats() -> str:
     plan, rows = default_plan(), []
     for cc in plan.by_code:
         r = plan.main_record(cc)
-        rows.append((cc, "-", 0, None, None, None, None, r.preferred_extn_prefix))
+        rows.append((cc, "-", 0, None, None, None, None, None, r.preferred_extn_prefix))
         for kind, found in (("N", r.formats), ("I", r.intl_formats or r.formats)):
-            rows += [(cc, kind, i, f.leading_digits[-1] if f.leading_digits else None, f.pattern, re2(f.national_template), re2(f.format), None) for i, f in enumerate(found)]
-    return values("fmt", "cc, kind, place, lead_p, pattern, national, plain, extn", rows)
+            rows += [(cc, kind, i, f.leading_digits[-1] if f.leading_digits else None, f.pattern, re2(f.national_template), re2(f.format), re2(f.carrier_template(CARRIER) if f.carrier_rule else f.national_template), None) for i, f in enumerate(found)]
+    return values("fmt", "cc, kind, place, lead_p, pattern, national, plain, carrier, extn", rows)
 
 
 def formatted(numbers: str) -> str:
     """formatted: all four formats of each number."""
     fits = "(lead_p IS NULL OR regexp_matches(nsn, '^(?:' || lead_p || ')')) AND regexp_full_match(nsn, pattern)"
-    pick = lambda k: f"(SELECT key, arg_min(struct_pack(p := pattern, n := national, f := plain), place) AS {k} FROM {numbers} n JOIN fmt ON fmt.cc = n.cc AND kind = '{k}' AND {fits} GROUP BY key)"
+    pick = lambda k: f"(SELECT key, arg_min(struct_pack(p := pattern, n := national, f := plain, c := fmt.carrier), place) AS x{k} FROM {numbers} n JOIN fmt ON fmt.cc = n.cc AND kind = '{k}' AND {fits} GROUP BY key)"
     ext = "CASE WHEN coalesce(ext, '') <> '' THEN {} || ext ELSE '' END"
     label = ext.format("coalesce(fmt.extn, ' ext. ')")
     punct = quoted(f"[{T.PUNCTUATION}]+")
     return f"""fn AS {pick('N')}, fi AS {pick('I')},
-chosen AS (SELECT n.*, fmt.cc IS NOT NULL AS known, N.p AS national_pattern, coalesce(regexp_replace(nsn, N.p, N.n), nsn) AS nat, coalesce(regexp_replace(nsn, I.p, I.f), nsn) AS int_, {label} AS label
+chosen AS (SELECT n.*, fmt.cc IS NOT NULL AS known, xN.p AS national_pattern, coalesce(regexp_replace(nsn, xN.p, xN.c), nsn) AS by_carrier, coalesce(regexp_replace(nsn, xN.p, xN.f), nsn) AS bare_national, coalesce(regexp_replace(nsn, xN.p, xN.n), nsn) AS nat, coalesce(regexp_replace(nsn, xI.p, xI.f), nsn) AS int_, {label} AS label
   FROM {numbers} n LEFT JOIN fn USING (key) LEFT JOIN fi USING (key) LEFT JOIN fmt ON fmt.cc = n.cc AND fmt.kind = '-'),
 formatted AS (SELECT *, '+' || cc || nsn AS e164, CASE WHEN known THEN nat || label ELSE nsn END AS national_format,
   CASE WHEN known THEN '+' || cc || ' ' || int_ || label ELSE nsn END AS international_format, CASE WHEN known THEN '+' || cc || ' ' || int_ ELSE nsn END AS bare,
@@ -128,7 +132,7 @@ def area_codes() -> str:
     """areas, from classified and formatted."""
     return r"""ndc AS (SELECT c.key, c.cc, c.zero, number_region, number_type, national_prefix, regexp_extract_all(f.bare, '[0-9]+') AS g FROM classified c JOIN formatted f USING (key)),
 lengths AS (SELECT *, CAST(CASE WHEN len(g) < 3 THEN 0 WHEN cc = 54 AND number_type = 'MOBILE' THEN length(g[3]) + 1 ELSE length(g[2]) END AS INTEGER) AS ndc_length FROM ndc),
-areas AS (SELECT *, CASE WHEN number_region IN ('ZZ', '001') OR (national_prefix IS NULL AND NOT zero AND cc <> 52) OR (number_type = 'MOBILE' AND cc = 86)
+areas AS (SELECT *, CASE WHEN number_region IN ('ZZ', '001') OR (national_prefix IS NULL AND NOT coalesce(zero, false) AND cc <> 52) OR (number_type = 'MOBILE' AND cc = 86)
   OR NOT (number_type IN ('FIXED_LINE', 'FIXED_LINE_OR_MOBILE') OR (number_type = 'MOBILE' AND cc IN (52, 54, 55, 62, 86))) THEN 0 ELSE ndc_length END AS area_code_length FROM lengths)"""
 
 
@@ -211,6 +215,37 @@ def parsed(source: str, name: str = "parsed") -> str:
   CASE WHEN error IS NULL AND z > 1 THEN z::INTEGER END AS zeros, CASE WHEN error IS NULL THEN origin END AS origin, CASE WHEN error IS NULL THEN carrier0 END AS carrier FROM {x}_r)"""
 
 
+def callers() -> str:
+    """callers: how the regions of the queries dial abroad."""
+    plan, rows = default_plan(), []
+    for i in ("US", "AU", "MX", "UZ"):
+        r = plan.regions[i]
+        rows.append((i, r.country_code, r.preferred_international_prefix or (r.international_prefix if r.international_prefix.isdigit() else "")))
+    return values("callers", "caller, here, idd", rows)
+
+
+def abroad(classified: str = "classified", formatted: str = "formatted") -> str:
+    """abroad: each of `formatted` as dialled from its caller, and for a mobile; needs callers, mp."""
+    return f"""abroad AS (SELECT f.*, CASE WHEN here IS NULL THEN international_format WHEN NOT known THEN nsn WHEN f.cc = 1 AND here = 1 THEN '1 ' || national_format WHEN f.cc <> 1 AND f.cc = here THEN national_format
+  WHEN idd <> '' THEN idd || ' ' || f.cc || ' ' || int_ || label ELSE international_format END AS abroad FROM {formatted} f LEFT JOIN callers USING (caller)),
+mobile AS (SELECT a.*, c.number_type, CASE WHEN mp.cc IS NULL THEN coalesce(raw, '') WHEN caller = mp.main THEN
+    CASE WHEN CASE WHEN a.cc = 1 THEN c.dialled_abroad AND {_length('a.nsn', 'mp.gen_l', 'mp.gen_o')} <> 'TOO_SHORT' ELSE c.dialled_abroad AND mp.main IN ('MX', 'CL', 'UZ') AND c.number_type IN ('FIXED_LINE', 'MOBILE', 'FIXED_LINE_OR_MOBILE') END THEN bare ELSE nat END
+  WHEN c.number_type <> 'UNKNOWN' AND c.dialled_abroad THEN bare ELSE '' END AS mobile FROM abroad a JOIN {classified} c ON c.key = a.key LEFT JOIN mp ON mp.cc = a.cc)"""
+
+
+def original() -> str:
+    """original: each of `mobile` as it was written; needs the CTE `again` (key, ok): whether what is
+    left of the text without a national prefix is a valid number."""
+    diallable = "regexp_replace({}, '[^0-9+*#]', '', 'g')"
+    ndd = values("ndd", "main, prefix, no_rule", [(i, (r.national_prefix or "").replace("~", ""), False) for i, r in default_plan().regions.items()])
+    plain = values("ruled", "cc, p, has", [(c, f.pattern, bool(f.national_prefix_rule) and "$1" in f.national_prefix_rule and any(x.isdigit() for x in f.national_prefix_rule.split("$1")[0])) for c in default_plan().by_code for f in default_plan().main_record(c).formats])
+    return f"""{ndd}, {plain},
+national_only AS (SELECT m.key, CASE WHEN ndd.main IS NULL OR coalesce(again.ok, false) OR NOT coalesce(bool_or(ruled.has), false) THEN any_value(national_format) ELSE any_value(bare_national || label) END AS s
+  FROM mobile m LEFT JOIN mp ON mp.cc = m.cc LEFT JOIN ndd ON ndd.main = mp.main LEFT JOIN again ON again.key = m.key LEFT JOIN ruled ON ruled.cc = m.cc AND ruled.p = national_pattern GROUP BY m.key, ndd.main, again.ok),
+worded AS (SELECT m.*, CASE origin WHEN 'FROM_NUMBER_WITH_PLUS_SIGN' THEN international_format WHEN 'FROM_NUMBER_WITH_IDD' THEN abroad WHEN 'FROM_NUMBER_WITHOUT_PLUS_SIGN' THEN substr(international_format, 2) ELSE s END AS w FROM mobile m JOIN national_only USING (key)),
+original AS (SELECT *, CASE WHEN national_pattern IS NULL OR (w <> '' AND {diallable.format('w')} <> {diallable.format('raw')}) THEN raw ELSE w END AS original FROM worded)"""
+
+
 def types() -> str:
     """types: one row for each record and type."""
     rows = [(r.id, r.country_code, k.upper(), r.desc(k).pattern, r.desc(k).lengths, r.desc(k).example) for r in default_plan().records for k in TYPES]

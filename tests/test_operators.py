@@ -32,7 +32,7 @@ def test_match_numbers_equals_all_pairs(spark):
     assert got == want and set(want.values()) == {"EXACT_MATCH", "NSN_MATCH", "SHORT_NSN_MATCH"}
 
 
-def test_match_all_pairs_uses_every_customer(spark, tmp_path):
+def test_match_pairs_uses_every_customer(spark, tmp_path):
     keys = [(40 * k + s,) for k in range(3) for s in (0, 3, 12, 18, 30)] + [(8000 * k + 3,) for k in range(1, 4)]
     spark.createDataFrame(keys, "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
     rows = catalog._customers(spark, str(tmp_path)).collect()
@@ -40,7 +40,7 @@ def test_match_all_pairs_uses_every_customer(spark, tmp_path):
     left = {r.key: Phone(r.cc, r.national_number, r.ext, r.zero, r.zeros) for r in rows}
     right = {r.key: Phone(0 if r.key % 5 == 0 else r.cc, number(r), r.ext, r.zero, r.zeros) for r in rows}
     want = {(a, b): m for a in left for b in right if (m := P.match(left[a], right[b])) != "NO_MATCH"}
-    got = catalog.QUERIES["match_all_pairs"](spark, str(tmp_path)).collect()
+    got = catalog.QUERIES["match_pairs"](spark, str(tmp_path)).collect()
     assert {(r.a_id, r.b_id): r.match for r in got} == want and any(a % 3 == 0 for a, _ in want)
 
 

@@ -2,14 +2,13 @@
 
 A pattern that comes from a joined column is compiled anew for nearly every row, since
 neighbouring rows belong to different plans; literal patterns are compiled once. So plans
-of up to MOST_PATTERNS patterns become one CASE over the calling code. Larger plans use
-the joined form in `native`, whose plan size doesn't depend on the dial plan.
+of up to MOST_PATTERNS patterns become one CASE over the calling code. With larger plans formats
+use the joined form in `native`, whose expressions don't grow with the dial plan, and classes the
+Arrow function in `vectorized`.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,51 +48,59 @@ def _type(nsn: Column, r: Record) -> Column:
 
 
 def _by_code(cc: Column, found: dict[int, Column]) -> Column:
-    """CASE over the calling code; null for codes that aren't there."""
-    items = list(found.items())
-    first = F.when(cc == items[0][0], items[0][1])
-    return reduce(lambda out, x: out.when(cc == x[0], x[1]), items[1:], first)
+    """The expression of the calling code, found by halving; null for codes that aren't there."""
+    codes = sorted(found)
+    if len(codes) == 1:
+        return F.when(cc == codes[0], found[codes[0]])
+    half = len(codes) // 2
+    return F.when(cc < codes[half], _by_code(cc, {c: found[c] for c in codes[:half]})).otherwise(_by_code(cc, {c: found[c] for c in codes[half:]}))
+
+
+def _interpreted(cc: Column, out: Column) -> Column:
+    """`out`, evaluated outside whole-stage code: a higher-order function makes the projection leave
+    that, and Spark splits the CASE into methods small enough to be optimized."""
+    return F.when(F.exists(F.array(cc), lambda c: c.isNotNull()), out)
+
+
+def _claim(nsn: Column, r: Record, only: bool) -> Column:
+    """The struct of a region where it claims the number; its type is worked out once."""
+    barred = _holds(nsn, r.desc("no_international_dialling")) if r.id != WORLD else None
+    fields = lambda kind: F.struct(F.lit(r.id).alias("region"), kind.alias("type"), F.lit(False).alias("barred") if barred is None else barred.alias("barred"), F.lit(r.national_prefix).cast("string").alias("national_prefix"))
+    if only:
+        return fields(_type(nsn, r))
+    lead = nsn.rlike(start(r.leading_digits)) if r.leading_digits is not None else F.lit(False)
+    return F.get(F.transform(F.array(_type(nsn, r)), lambda kind: F.when(lead | (kind != "UNKNOWN"), fields(kind))), F.lit(0))
 
 
 def classified(cc: Column, nsn: Column, plan: Plan) -> Column:
     """struct(region, type, barred, national_prefix): null where no region claims the number."""
-    found = {}
-    for code, ids in plan.by_code.items():
-        out = None
-        for i in ids:
-            r = plan.record_of(code, i)
-            kind = _type(nsn, r)
-            barred = _holds(nsn, r.desc("no_international_dialling")) if i != WORLD else None
-            x = F.struct(F.lit(i).alias("region"), kind.alias("type"), F.lit(False).alias("barred") if barred is None else barred.alias("barred"), F.lit(r.national_prefix).cast("string").alias("national_prefix"))
-            if len(ids) == 1:
-                out = x
-                break
-            claims = kind != "UNKNOWN"
-            if r.leading_digits is not None:
-                claims = nsn.rlike(start(r.leading_digits)) | claims
-            out = F.when(claims, x) if out is None else out.when(claims, x)
-        found[code] = out
-    # A higher-order function is evaluated outside whole-stage code. With it the projection
-    # leaves that, and Spark splits the CASE into methods small enough to be optimized.
-    known = F.exists(F.array(cc), lambda c: c.isNotNull())
-    return F.when(known, _by_code(cc, found))
-
-
-def _chosen(nsn: Column, formats) -> Column:
-    """The place of the format that applies; null if none does."""
-    out = F.when(F.lit(False), 0)
-    for i, f in enumerate(formats):
+    found = {code: F.coalesce(*(_claim(nsn, plan.record_of(code, i), len(ids) == 1) for i in ids)) for code, ids in plan.by_code.items()}
+    return _interpreted(cc, _by_code(cc, found))
+
+
+def valid_in(cc: Column, nsn: Column, region: Column, plan: Plan) -> Column:
+    """Whether a number is valid in a region, be it its own or not."""
+
+    def inside(code: int, ids: list[str]) -> Column:
+        return F.coalesce(*(F.when(region == i, _type(nsn, plan.record_of(code, i)) != "UNKNOWN") for i in ids), F.lit(False))
+
+    return F.coalesce(_interpreted(cc, _by_code(cc, {code: inside(code, ids) for code, ids in plan.by_code.items()})), F.lit(False))
+
+
+def _written(nsn: Column, formats, template: str) -> Column:
+    """The number by the first format that applies; as it is if none does."""
+    out = F.when(F.lit(False), nsn)
+    for f in formats:
         c = nsn.rlike(whole(f.pattern))
-        out = out.when(nsn.rlike(start(f.leading_digits[-1])) & c if f.leading_digits else c, i)
-    return out
+        out = out.when(nsn.rlike(start(f.leading_digits[-1])) & c if f.leading_digits else c, F.regexp_replace(nsn, f.pattern, getattr(f, template)))
+    return out.otherwise(nsn)
 
 
-def national_place(cc: Column, nsn: Column, plan: Plan) -> Column:
-    """The place among the national formats of the code's main region."""
-    return _by_code(cc, {c: _chosen(nsn, plan.main_record(c).formats) for c in plan.by_code if plan.main_record(c).formats})
+def national_body(cc: Column, nsn: Column, plan: Plan) -> Column:
+    """The number as the code's main region writes it; null for an unknown code."""
+    return _interpreted(cc, _by_code(cc, {c: _written(nsn, plan.main_record(c).formats, "national_template") for c in plan.by_code}))
 
 
-def plain_place(cc: Column, nsn: Column, plan: Plan) -> Column:
-    """The place among the international formats, or the national ones if there are none."""
-    found = {c: plan.main_record(c).intl_formats or plan.main_record(c).formats for c in plan.by_code}
-    return _by_code(cc, {c: _chosen(nsn, f) for c, f in found.items() if f})
+def plain_body(cc: Column, nsn: Column, plan: Plan) -> Column:
+    """The number by the international formats, or the national ones if there are none."""
+    return _interpreted(cc, _by_code(cc, {c: _written(nsn, plan.main_record(c).intl_formats or plan.main_record(c).formats, "format") for c in plan.by_code}))

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from callgrid.kernel import text as T
 from callgrid.kernel.phone import AREA_CODES_WITHOUT_PREFIX, GEO_MOBILE, GEO_MOBILE_WITHOUT_AREA_CODE, MOBILE_TOKENS
-from callgrid.plans.loader import SPECIAL_TYPES
+from callgrid.plans.loader import Plan
 
 
 @cache
 def _digit_table() -> tuple[str, str]:
-    """All decimal digits beyond ASCII in the basic plane, and their values."""
-    found = [chr(c) for c in range(128, 0x10000) if unicodedata.category(chr(c)) == "Nd"]
+    """All decimal digits beyond ASCII, and their values."""
+    found = [chr(c) for c in range(128, 0x110000) if unicodedata.category(chr(c)) == "Nd"]
     return "".join(found), "".join(str(unicodedata.decimal(c)) for c in found)
 
 
@@ -74,6 +74,36 @@ def is_viable(s: Column) -> Column:
     return (F.octet_length(s) >= T.MIN_NSN) & s.rlike(_WHOLE(f"(?:{T.NUMBER_PATTERN.replace('()', chr(92) + '(' + chr(92) + ')')})(?:{T.extension_pattern(True)})?"))
 
 
+_EXTENSION = T.extension_pattern(True)
+
+
+def split_extension(s: Column) -> Column:
+    """struct(number, extension): the extension at the end of a text, null where what stands before
+    it isn't a viable number."""
+    pattern = rf"(?iu)\A(.*?)(?:{_EXTENSION})\z"
+    head = F.regexp_extract(s, pattern, 1)
+    digits = F.coalesce(*(F.nullif(F.regexp_extract(s, pattern, k), F.lit("")) for k in range(2, 2 + _EXTENSION.count("(\\p{Nd}"))))
+    cut = F.coalesce(digits.isNotNull() & is_viable(head), F.lit(False))
+    return F.struct(F.when(cut, head).otherwise(s).alias("number"), F.when(cut, digits).alias("extension"))
+
+
+def is_alpha_number(s: Column) -> Column:
+    """Whether a text is a viable number with three letters or more, as 1-800-FLOWERS."""
+    return is_viable(s) & has_three_letters(split_extension(s)["number"])
+
+
+def country_code_of(region: Column, plan: Plan) -> Column:
+    """The calling code of a region; 0 for an unknown one."""
+    known = F.create_map(*(F.lit(x) for r in plan.regions.values() for x in (r.id, r.country_code)))
+    return F.coalesce(F.try_element_at(known, F.coalesce(region, F.lit(""))), F.lit(0))
+
+
+def national_prefix_of(region: Column, plan: Plan) -> Column:
+    """The prefix that is dialled within a region, empty without one; null for an unknown region."""
+    known = F.create_map(*(F.lit(x) for r in plan.regions.values() for x in (r.id, (r.national_prefix or "").replace("~", ""))))
+    return F.try_element_at(known, F.coalesce(region, F.lit("")))
+
+
 def phone_context(s: Column) -> Column:
     """The value of the phone-context parameter; null without one."""
     at = F.instr(s, T.PHONE_CONTEXT)
@@ -107,30 +137,6 @@ def e164(cc: Column, nsn: Column) -> Column:
 # --- decisions over a plan row
 
 
-def _holds(nsn: Column, descs: Column, kind: str) -> Column:
-    d = descs[kind]
-    right_length = (F.size(d["lengths"]) == 0) | F.array_contains(d["lengths"], F.length(nsn))
-    return F.coalesce(F.when(right_length, F.rlike(nsn, d["pattern"])), F.lit(False))
-
-
-def type_in(nsn: Column, region: Column) -> Column:
-    """The type of a number in a region's struct: length first, then patterns, in order."""
-    descs, same = region["descs"], region["same"]
-    out = F.when(~_holds(nsn, descs, "general"), "UNKNOWN")
-    for kind in SPECIAL_TYPES:
-        out = out.when(_holds(nsn, descs, kind), kind.upper())
-    mobile = _holds(nsn, descs, "mobile")
-    out = out.when(_holds(nsn, descs, "fixed_line"), F.when(same, "FIXED_LINE_OR_MOBILE").when(mobile, "FIXED_LINE_OR_MOBILE").otherwise("FIXED_LINE"))
-    return out.when(~same, F.when(mobile, "MOBILE").otherwise("UNKNOWN")).otherwise("UNKNOWN")
-
-
-def region_of(nsn: Column, regions: Column) -> Column:
-    """The struct of the number's region: the only one, or the first of several that claims
-    it; null if none does."""
-    claims = lambda r: F.coalesce(F.rlike(nsn, r["leading"]), F.lit(False)) | (type_in(nsn, r) != "UNKNOWN")
-    return F.when(F.size(regions) == 1, regions[0]).otherwise(F.get(F.filter(regions, claims), F.lit(0)))
-
-
 def length_result(nsn: Column, lengths: Column, local: Column) -> Column:
     """Whether a number of this length can exist."""
     n = F.length(nsn)

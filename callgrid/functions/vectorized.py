@@ -6,14 +6,16 @@ text that isn't a number gives an error column, never a failed job.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from callgrid.kernel import text
 from callgrid.kernel.phone import Phone, PhoneError, Phones
 from callgrid.plans.loader import Plan, default_plan
 
@@ -31,6 +33,45 @@ def _phones(path: str | None) -> Phones:
     return Phones(default_plan() if path is None else Plan.load(path))
 
 
+@lru_cache(maxsize=4)
+def _phones_of(blob: bytes) -> Phones:
+    """One set of operations for each worker and plan that was sent along."""
+    return Phones(Plan(json.loads(blob)))
+
+
+CLASS = "struct<region: string, type: string, barred: boolean, national_prefix: string>"
+
+
+def classified(cc: Column, nsn: Column, plan: Plan) -> Column:
+    """The struct CLASS of a number: null where no region claims it. For plans with more patterns
+    than expressions can hold: workers compile each pattern once, the JVM would at every change."""
+    blob = plan.blob
+
+    @F.arrow_udf(CLASS)
+    def run(cc: pa.Array, nsn: pa.Array) -> pa.Array:
+        ops, seen, out = _phones_of(blob), {}, []
+        for key in zip(cc.to_pylist(), nsn.to_pylist(), strict=True):
+            if key not in seen:
+                seen[key] = None if None in key else ops.claim(*key)
+            out.append(seen[key])
+        cols = [pa.array([None if c is None else c[k] for c in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.bool_(), pa.string()))]
+        return pa.StructArray.from_arrays(cols, names=["region", "type", "barred", "national_prefix"], mask=pa.array([c is None for c in out], pa.bool_()))
+
+    return run(cc, nsn)
+
+
+def valid_in(cc: Column, nsn: Column, region: Column, plan: Plan) -> Column:
+    """Whether a number is valid in a region, for plans of many patterns."""
+    blob = plan.blob
+
+    @F.arrow_udf("boolean")
+    def run(cc: pa.Array, nsn: pa.Array, region: pa.Array) -> pa.Array:
+        ops = _phones_of(blob)
+        return pa.array([None not in key and ops.holds(*key) for key in zip(cc.to_pylist(), nsn.to_pylist(), region.to_pylist(), strict=True)], pa.bool_())
+
+    return run(cc, nsn, region)
+
+
 def _none(x):
     return None if x is None or x is pd.NA or isinstance(x, float) and x != x else x
 
@@ -223,6 +264,11 @@ def match_texts(a: Column, b: Column, plan: str | None = None) -> Column:
     return run(a, b)
 
 
+def match_text(phone: Column, other: Column, **how) -> Column:
+    """How alike a number and a text are; null where the text isn't a number."""
+    return of_phone(lambda o, p, t: o.match_text(p, t or ""), "string", other, **how)(phone)
+
+
 def example(region: Column, kind: Column, **how) -> Column:
     return to_phone(lambda o, r, k: o.example(r, k), region, kind, **how)
 
@@ -239,23 +285,78 @@ def invalid_example(region: Column, **how) -> Column:
     return to_phone(lambda o, r: o.invalid_example(r), region, **how)
 
 
+#: SQL names on (text, region) and more columns: what to call and what it returns. Null where the
+#: text isn't a number.
+SQL_ON_TEXTS: dict[str, tuple[Callable, str]] = {
+    "phone_e164": (lambda o, p: o.format(p, "E164"), "string"),
+    "phone_format": (lambda o, p, kind: o.format(p, kind), "string"),
+    "phone_format_abroad": (lambda o, p, caller: o.format_abroad(p, caller), "string"),
+    "phone_format_abroad_keeping_letters": (lambda o, p, caller: o.format_abroad_keeping_letters(p, caller), "string"),
+    "phone_format_original": (lambda o, p, caller: o.format_original(p, caller), "string"),
+    "phone_format_for_mobile": (lambda o, p, caller: o.format_for_mobile(p, caller, True), "string"),
+    "phone_format_with_carrier": (lambda o, p, carrier: o.format_with_carrier(p, carrier or ""), "string"),
+    "phone_format_with_preferred_carrier": (lambda o, p, carrier: o.format_with_preferred_carrier(p, carrier or ""), "string"),
+    "phone_national_number": (lambda o, p: p.nsn, "string"),
+    "phone_extension": (lambda o, p: p.extension, "string"),
+    "phone_country_code": (lambda o, p: p.country_code, "int"),
+    "phone_region": (lambda o, p: o.region(p), "string"),
+    "phone_type": (lambda o, p: o.type(p), "string"),
+    "phone_is_valid": (lambda o, p: o.is_valid(p), "boolean"),
+    "phone_is_valid_for_region": (lambda o, p, r: o.is_valid_for_region(p, r), "boolean"),
+    "phone_is_possible": (lambda o, p: o.is_possible(p), "boolean"),
+    "phone_possible_reason": (lambda o, p: o.possible(p), "string"),
+    "phone_possible_reason_for_type": (lambda o, p, kind: o.possible(p, kind), "string"),
+    "phone_is_geographical": (lambda o, p: o.is_geographical(p), "boolean"),
+    "phone_can_be_dialled_abroad": (lambda o, p: o.can_be_dialled_abroad(p), "boolean"),
+    "phone_area_code_length": (lambda o, p: o.area_code_length(p), "int"),
+    "phone_destination_code_length": (lambda o, p: o.destination_code_length(p), "int"),
+    "phone_truncated": (lambda o, p: (q := o.truncate(p))[0] and o.format(q[1], "E164") or None, "string"),
+    "phone_has_format": (lambda o, p: o.has_format(p), "boolean"),
+}
+#: SQL names on other columns.
+SQL_ON_VALUES: dict[str, tuple[Callable, str]] = {
+    "phone_match": (lambda o, a, b: o.match_texts(a or "", b or ""), "string"),
+    "phone_normalize": (lambda o, s: s if s is None else text.normalize(s), "string"),
+    "phone_normalize_digits": (lambda o, s: s if s is None else text.digits_only(s), "string"),
+    "phone_normalize_diallable": (lambda o, s: s if s is None else text.diallable_only(s), "string"),
+    "phone_keypad": (lambda o, s: s if s is None else text.keypad(s), "string"),
+    "phone_is_viable": (lambda o, s: None if s is None else text.is_viable(s), "boolean"),
+    "phone_is_alpha": (lambda o, s: None if s is None else text.is_alpha_number(s), "boolean"),
+    "phone_code_of_region": (lambda o, r: o.plan.regions[r].country_code if r in o.plan.regions else 0, "int"),
+    "phone_national_prefix_of_region": (lambda o, r: o.ndd(r), "string"),
+    "phone_region_of_code": (lambda o, c: o.plan.main_region(int(c)), "string"),
+    "phone_example": (lambda o, r, kind: (p := o.example(r, kind)) and o.format(p, "E164"), "string"),
+}
+
+
 def register(spark: SparkSession, plan: str | None = None) -> None:
-    """SQL names: phone_parse(text, region), phone_e164(text, region), phone_is_valid(text, region),
-    phone_type(text, region), phone_format(text, region, kind)."""
+    """SQL names: phone_parse(text, region) and those of SQL_ON_TEXTS and SQL_ON_VALUES."""
 
-    def text(call: Callable, returns: str):
+    def of_text(call: Callable, returns: str):
         @F.pandas_udf(returns)
         def run(*cols: pd.Series) -> pd.Series:
             ops, out = _phones(plan), []
             for raw, where, *more in zip(*cols, strict=True):
-                p, _, _ = ops.try_parse(_none(raw), _none(where))
-                out.append(None if p is None else call(ops, p, *more))
+                p, _, _ = ops.try_parse(_none(raw), _none(where), keep_raw=True)
+                out.append(None if p is None else call(ops, p, *map(_none, more)))
+            return pd.Series(out, dtype=object)
+
+        return run
+
+    def of_values(call: Callable, returns: str):
+        @F.pandas_udf(returns)
+        def run(*cols: pd.Series) -> pd.Series:
+            ops, out = _phones(plan), []
+            for row in zip(*cols, strict=True):
+                try:
+                    out.append(call(ops, *map(_none, row)))
+                except PhoneError:
+                    out.append(None)
             return pd.Series(out, dtype=object)
 
         return run
 
     spark.udf.register("phone_parse", _parsed(plan, False, True))
-    spark.udf.register("phone_e164", text(lambda o, p: o.format(p, "E164"), "string"))
-    spark.udf.register("phone_is_valid", text(lambda o, p: o.is_valid(p), "boolean"))
-    spark.udf.register("phone_type", text(lambda o, p: o.type(p), "string"))
-    spark.udf.register("phone_format", text(lambda o, p, kind: o.format(p, kind), "string"))
+    for make, names in ((of_text, SQL_ON_TEXTS), (of_values, SQL_ON_VALUES)):
+        for name, (call, returns) in names.items():
+            spark.udf.register(name, make(call, returns))

@@ -13,6 +13,7 @@ from callgrid.kernel import text as T
 from callgrid.operators import numbers as O
 from callgrid.operators import oracle as Q
 from callgrid.plans import default_plan, tables
+from callgrid.plans.loader import NumberFormat
 from callgrid.sources import files, synthetic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,6 +150,26 @@ def italian_leading_zeros(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("key", N.leading_zeros(s).alias("zeros"))
 
 
+_TAILS = (" x123", " ext. 45", ";ext=9", " #77", "-12#", ",,5", "", " anexo 6")
+_TAILED = f"{_RAW}, tailed AS (SELECT key, raw || CASE key % {len(_TAILS)} " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TAILS)) + " END AS s FROM written)"
+
+
+def _tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written numbers with extensions in many styles, or none, at their ends."""
+    tail = F.get(F.array(*map(F.lit, _TAILS)), F.pmod(F.col("key"), F.lit(len(_TAILS))).cast("int"))
+    return _texts(spark, sf_dir).select("key", F.concat("raw", tail).alias("s"))
+
+
+@query(f"WITH {_TAILED}, {Q.extensions('tailed')} SELECT key, s, number, extension FROM cuts")
+def split_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tailed(spark, sf_dir).withColumn("x", N.split_extension(F.col("s"))).select("key", "s", "x.number", "x.extension")
+
+
+@query(f"WITH {_TAILED}, {Q.extensions('tailed')} SELECT key, viable AND length(regexp_replace(number, '[^A-Za-z]', '', 'g')) >= 3 AS alpha FROM cuts")
+def alpha_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tailed(spark, sf_dir).select("key", N.is_alpha_number(F.col("s")).alias("alpha"))
+
+
 # --- numbers: identity, codes, lengths
 
 
@@ -199,6 +220,20 @@ def is_number_geographical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.classify(_customers(spark, sf_dir)).select("key", N.is_geographical(F.col("cc"), F.col("number_type")).alias("geographical"))
 
 
+@query(f"""WITH {_CLASS}, asked AS (SELECT key, CASE key % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'GB' ELSE region END AS asked FROM numbers)
+SELECT key, asked, coalesce(t <> 'UNKNOWN', false) AS valid_for_region FROM asked LEFT JOIN typed ON typed.key = asked.key AND preg = asked""".replace("SELECT key, asked, coalesce", "SELECT asked.key, asked, coalesce"))
+def valid_for_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.when(F.col("key") % 3 == 0, "US").when(F.col("key") % 3 == 1, "GB").otherwise(F.col("region"))
+    return O.valid_for_region(_customers(spark, sf_dir).withColumn("asked", asked), "asked").select("key", "asked", "valid_for_region")
+
+
+@query(f"WITH {_NUMBERS}, {Q.regions()} SELECT key, numbers.region, coalesce(plan.cc, 0) AS code, CASE WHEN plan.cc IS NOT NULL THEN replace(coalesce(national_prefix, ''), '~', '') END AS ndd FROM numbers LEFT JOIN plan ON plan.region = numbers.region AND plan.region <> '001'")
+def codes_of_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calling code and the national prefix of each customer's region."""
+    region = F.col("region")
+    return _customers(spark, sf_dir).select("key", "region", N.country_code_of(region, default_plan()).alias("code"), N.national_prefix_of(region, default_plan()).alias("ndd"))
+
+
 # --- formats
 
 _FORMATS = f"{_NUMBERS}, {Q.formats()}, {Q.formatted('numbers')}"
@@ -379,6 +414,18 @@ def formats_for_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("key", caller.alias("caller"), V.format_abroad(F.col("p"), caller).alias("abroad"), V.format_for_mobile(F.col("p"), caller).alias("mobile"))
 
 
+_OWN_FORMAT = NumberFormat(r"(\d{3})(\d{3})(\d{4})", "$1 $2-$3", national_prefix_rule="$NP ($FG)")
+
+
+@query(rf"""WITH {_FORMATS}, own AS (SELECT f.*, p.national_prefix AS np, regexp_full_match(nsn, '\d{{10}}') AS fits FROM formatted f LEFT JOIN plan p ON p.cc = f.cc AND rank = 0)
+SELECT key, CASE WHEN NOT known THEN nsn WHEN fits THEN CASE WHEN np IS NULL THEN regexp_replace(nsn, '(...)(...)(....)', '\1 \2-\3') ELSE np || ' ' || regexp_replace(nsn, '(...)(...)(....)', '(\1) \2-\3') END || label ELSE nsn || label END AS national,
+CASE WHEN NOT known THEN nsn ELSE '+' || cc || ' ' || CASE WHEN fits THEN regexp_replace(nsn, '(...)(...)(....)', '\1 \2-\3') ELSE nsn END || label END AS international FROM own""".replace("WITH ", f"WITH {Q.regions()}, ", 1))
+def formats_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers' numbers by a format of the caller's."""
+    p = O.phones(_customers(spark, sf_dir))
+    return p.select("key", V.format_by_pattern(F.col("phone"), "NATIONAL", [_OWN_FORMAT]).alias("national"), V.format_by_pattern(F.col("phone"), "INTERNATIONAL", [_OWN_FORMAT]).alias("international"))
+
+
 _BARE = "regexp_replace(translate(raw, '０１２３４５６７８９', '0123456789'), '[^0-9]', '', 'g')"
 _AGAIN = f"""ndd0 AS (SELECT p.key, mp.main AS region, substr({_BARE}, 1 + length(pre)) AS raw, mp.cc AS cc0 FROM phones p JOIN mp ON mp.cc = p.cc JOIN (SELECT cc AS pcc, replace(coalesce(national_prefix, ''), '~', '') AS pre FROM plan WHERE rank = 0 AND region <> '001') ON pcc = p.cc
   WHERE starts_with({_BARE}, pre)), {Q.parsed('ndd0', 'again0')}, again1 AS (SELECT * FROM again0 WHERE error IS NULL)"""
@@ -437,12 +484,30 @@ def truncate_too_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("key", "t.country_code", "t.national_number")
 
 
-@query()
+_WRITTEN_PAIRS = f"""{_RAW}, {Q.regions_for_parsing()}, p1 AS (SELECT key, raw, 'ZZ' AS region FROM written), p2 AS (SELECT key, '+' || cc || ' ' || national_number AS raw, 'ZZ' AS region FROM written),
+{Q.parsed('p1', 'one')}, {Q.parsed('p2', 'two')}, p3 AS (SELECT key, one.raw, mp.main AS region FROM one JOIN two USING (key) JOIN mp ON mp.cc = two.cc), {Q.parsed('p3', 'here')},
+p4 AS (SELECT key, raw, region FROM written), {Q.parsed('p4', 'own')}"""
+
+
+@query(f"""WITH {_WRITTEN_PAIRS} SELECT key, CASE WHEN one.error IS NULL AND two.error IS NULL THEN {Q.match('one', 'two')}
+WHEN one.error = 'INVALID_COUNTRY_CODE' AND two.error IS NULL AND here.error IS NULL THEN replace({Q.match('two', 'here')}, 'EXACT', 'NSN') END AS match
+FROM one JOIN two USING (key) LEFT JOIN here USING (key)""")
 def match_written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _texts(spark, sf_dir).withColumn("other", F.concat(F.lit("+"), F.col("cc").cast("string"), F.lit(" "), F.col("national_number").cast("string")))
+    t = _written_pairs(spark, sf_dir)
     return t.select("key", V.match_texts(F.col("raw"), F.col("other")).alias("match"))
 
 
+@query(f"WITH {_WRITTEN_PAIRS} SELECT key, CASE WHEN own.error IS NULL AND two.error IS NULL THEN {Q.match('own', 'two')} END AS match FROM own JOIN two USING (key)")
+def match_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parsed number against a text."""
+    t = O.parse_column(_written_pairs(spark, sf_dir), "raw", "region")
+    return t.select("key", V.match_text(F.col("parsed.phone"), F.col("other")).alias("match"))
+
+
+def _written_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).withColumn("other", F.concat(F.lit("+"), F.col("cc").cast("string"), F.lit(" "), F.col("national_number").cast("string")))
+
+
 _EXAMPLES = f"""{Q.types()}, {Q.regions_for_parsing()}, {Q.regions()},
 given AS (SELECT row_number() OVER (ORDER BY region, cc, type) AS key, region AS home, cc AS own, type, CASE WHEN region = '001' THEN '+' || cc || example ELSE example END AS raw, CASE WHEN region = '001' THEN 'ZZ' ELSE region END AS region FROM types),
 {Q.parsed('given')}, ex AS (SELECT g.home, g.own, g.type, g.raw, p.* EXCLUDE (raw, region) FROM given g JOIN parsed p USING (key))"""

@@ -23,7 +23,7 @@ def with_nsn(df: DataFrame) -> DataFrame:
     return df.withColumn("nsn", N.nsn(F.col("national_number"), F.col("zero"), F.col("zeros")))
 
 
-PLAN_COLUMNS = ("main_region", "regions", "national", "intl", "extn", "lengths", "locals")
+PLAN_COLUMNS = ("main_region", "national", "intl", "extn", "lengths", "locals")
 
 
 def with_plan(df: DataFrame, plan: Plan | None = None) -> DataFrame:
@@ -37,24 +37,16 @@ def _with_class(p: DataFrame, plan: Plan) -> DataFrame:
     cc, nsn = F.col("cc"), F.col("nsn")
     if compiled.fits(plan):
         return p.withColumn("_c", compiled.classified(cc, nsn, plan))
-    p = p.withColumn("_r", N.region_of(nsn, F.col("regions")))
-    r = F.col("_r")
-    barred = (r["id"] != "001") & N._holds(nsn, r["descs"], "no_international_dialling")
-    out = F.struct(r["id"].alias("region"), N.type_in(nsn, r).alias("type"), barred.alias("barred"), r["national_prefix"].alias("national_prefix"))
-    return p.withColumn("_c", F.when(r.isNotNull(), out)).drop("_r")
+    return p.withColumn("_c", V.classified(cc, nsn, plan))
 
 
 def _with_bodies(p: DataFrame, plan: Plan) -> DataFrame:
     """p with _nat and _int: the written number, null where the calling code is unknown."""
     cc, nsn, known = F.col("cc"), F.col("nsn"), F.col("national").isNotNull()
     if compiled.fits(plan):
-        # the place by literal patterns; only the chosen format's own pattern comes from the plan row
-        p = p.withColumns({"_n": compiled.national_place(cc, nsn, plan), "_i": compiled.plain_place(cc, nsn, plan)})
-        chosen = {"national": F.get("national", F.col("_n")), "intl": F.get("intl", F.col("_i"))}
-    else:
-        chosen = {k: N.chosen_format(nsn, F.col(k)) for k in ("national", "intl")}
-    body = lambda k, template: F.when(known, N.written(nsn, chosen[k], template))
-    return p.withColumns({"_nat": body("national", "national"), "_int": body("intl", "plain")}).drop("_n", "_i")
+        return p.withColumns({"_nat": compiled.national_body(cc, nsn, plan), "_int": compiled.plain_body(cc, nsn, plan)})
+    body = lambda k, template: F.when(known, N.written(nsn, N.chosen_format(nsn, F.col(k)), template))
+    return p.withColumns({"_nat": body("national", "national"), "_int": body("intl", "plain")})
 
 
 def classify(df: DataFrame, plan: Plan | None = None) -> DataFrame:
@@ -80,6 +72,15 @@ def formats(df: DataFrame, plan: Plan | None = None) -> DataFrame:
     return out.drop("_nat", "_int", *PLAN_COLUMNS)
 
 
+def valid_for_region(df: DataFrame, region: str, plan: Plan | None = None) -> DataFrame:
+    """df with nsn and valid_for_region: the number is valid in the region of the column."""
+    plan = plan or default_plan()
+    df = with_nsn(df)
+    if not compiled.fits(plan):
+        return df.withColumn("valid_for_region", V.valid_in(F.col("cc"), F.col("nsn"), F.col(region), plan))
+    return df.withColumn("valid_for_region", compiled.valid_in(F.col("cc"), F.col("nsn"), F.col(region), plan))
+
+
 def area_codes(df: DataFrame, plan: Plan | None = None) -> DataFrame:
     """df with nsn, number_type, ndc_length and area_code_length."""
     plan = plan or default_plan()
@@ -119,6 +120,13 @@ def from_struct(df: DataFrame, phone: str) -> DataFrame:
     return df.withColumns({"cc": p["country_code"], "national_number": p["national_number"], "zero": p["italian_leading_zero"], "zeros": p["number_of_leading_zeros"], "ext": p["extension"]})
 
 
+def phones(df: DataFrame) -> DataFrame:
+    """df with phone, the struct of its columns cc, national_number, zero, zeros, ext."""
+    none = [F.lit(None).cast("string").alias(k) for k in ("raw_input", "country_code_source", "preferred_domestic_carrier_code")]
+    names = (("cc", "country_code"), ("national_number", "national_number"), ("ext", "extension"), ("zero", "italian_leading_zero"), ("zeros", "number_of_leading_zeros"))
+    return df.withColumn("phone", F.struct(*(F.col(a).alias(b) for a, b in names), *none))
+
+
 def dedupe(df: DataFrame, e164: str, order: str) -> DataFrame:
     """The first row of each number by order; combined before the shuffle, so a number on
     very many rows isn't gathered in one place."""
@@ -170,10 +178,21 @@ def match_numbers(left: DataFrame, right: DataFrame) -> DataFrame:
     return pairs.select("a_id", "b_id", N.match(of("a"), of("b")).alias("match")).where("match <> 'NO_MATCH'")
 
 
+#: Prefix maps of more entries are joined by a shuffle.
+BROADCAST_PREFIXES = 1_000_000
+
+
 def longest_prefix(df: DataFrame, digits: str, prefixes: DataFrame) -> DataFrame:
-    """df with name: that of the longest prefix in front."""
-    longest = F.broadcast(prefixes.agg(F.coalesce(F.max(F.length("prefix")), F.lit(1)).alias("_most")))
-    have = df.withColumn("_id", F.monotonically_increasing_id())
-    cut = have.crossJoin(longest).select("_id", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.greatest(F.length(digits), F.lit(1)), F.greatest("_most", F.lit(1)))), lambda k: F.substring(F.col(digits), F.lit(1), k))).alias("prefix"))
-    best = cut.join(prefixes, "prefix").groupBy("_id").agg(F.max_by("name", F.length("prefix")).alias("name"))
-    return have.join(best, "_id", "left").drop("_id")
+    """df with name: that of the longest prefix in front (the least of a prefix's names).
+
+    One lookup for each length that a prefix has: rows are neither multiplied nor numbered, and
+    a map of up to BROADCAST_PREFIXES entries moves none of them."""
+    names = prefixes.where("prefix is not null").groupBy("prefix").agg(F.min("name").alias("name"))
+    sizes = {r["k"]: r["count"] for r in names.groupBy(F.length("prefix").alias("k")).count().collect()}
+    small = sum(sizes.values()) <= BROADCAST_PREFIXES
+    out, found = df, []
+    for k in sorted(sizes, reverse=True):
+        found.append(f"_name{k}")
+        own = names.where(F.length("prefix") == k).select(F.col("prefix").alias("_prefix"), F.col("name").alias(found[-1]))
+        out = out.join(F.broadcast(own) if small else own, F.left(F.col(digits), F.lit(k)) == F.col("_prefix"), "left").drop("_prefix")
+    return out.withColumn("name", F.coalesce(*map(F.col, found), F.lit(None).cast("string"))).drop(*found)

@@ -150,6 +150,22 @@ _EXTENSIONS = (
 _KEYS = ("abcdefghijklmnopqrstuvwxyz", "22233344455566677778889999")
 
 
+def extensions(source: str) -> str:
+    """cuts: the texts s of `source` without the extension at their ends."""
+    extension = "|".join(_EXTENSIONS)
+    groups = ", ".join(f"nullif(regexp_extract(s, {quoted(f'(?i)^(?:.*?)(?:{extension})$')}, {k + 1}), '')" for k in range(len(_EXTENSIONS)))
+    viable = lambda x: f"strlen({x}) >= 2 AND regexp_full_match({x}, {quoted(f'(?i){_NUMBER}(?:{extension})?')})"
+    return f"""cut0 AS (SELECT *, {viable('s')} AS viable, regexp_extract(s, {quoted(f'(?i)^(.*?)(?:{extension})$')}, 1) AS head, coalesce({groups}) AS e FROM {source}),
+cuts AS (SELECT *, CASE WHEN e IS NOT NULL AND {viable('head')} THEN head ELSE s END AS number, CASE WHEN {viable('head')} THEN e END AS extension FROM cut0)"""
+
+
+def match(a: str, b: str) -> str:
+    """How alike two parsed numbers with known codes are."""
+    zeros = lambda x: f"CASE WHEN coalesce({x}.zero, false) THEN coalesce({x}.zeros, 1) ELSE 0 END"
+    return f"""CASE WHEN {a}.ext <> {b}.ext OR {a}.cc <> {b}.cc THEN 'NO_MATCH' WHEN {a}.n = {b}.n AND {a}.ext IS NOT DISTINCT FROM {b}.ext AND {zeros(a)} = {zeros(b)} THEN 'EXACT_MATCH'
+  WHEN ends_with({a}.n::VARCHAR, {b}.n::VARCHAR) OR ends_with({b}.n::VARCHAR, {a}.n::VARCHAR) THEN 'SHORT_NSN_MATCH' ELSE 'NO_MATCH' END"""
+
+
 def regions_for_parsing() -> str:
     """rp: what a parser reads of each region; mp: the same of each code's main record."""
     plan = default_plan()

@@ -149,6 +149,7 @@ class Plan:
     """All records and the indexes over them."""
 
     def __init__(self, rows: list[dict]):
+        self.rows = rows
         self.records = [self._record(r) for r in rows]
         self.regions = {r.id: r for r in self.records if r.id not in (WORLD, UNKNOWN_REGION)}
         self.non_geo = {r.country_code: r for r in self.records if r.id == WORLD}
@@ -158,6 +159,11 @@ class Plan:
             ids.insert(0, r.id) if r.main_country_for_code else ids.append(r.id)
         self.nanpa = {r.id for r in self.records if r.country_code == 1}
 
+    @cached_property
+    def blob(self) -> bytes:
+        """The plan's rows, to be sent to other processes."""
+        return json.dumps(self.rows, sort_keys=True).encode()
+
     @staticmethod
     def _record(row: dict) -> Record:
         row = dict(row)

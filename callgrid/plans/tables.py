@@ -13,11 +13,9 @@ from callgrid.plans.loader import SPECIAL_TYPES, TYPES, WORLD, NumberFormat, Pla
 #: The descriptions that classification reads.
 KINDS = ("general", *SPECIAL_TYPES, "fixed_line", "mobile", "no_international_dialling")
 
-_DESC = "struct<pattern: string, lengths: array<int>>"
 _FORMAT = "struct<leading: string, whole: string, pattern: string, national: string, plain: string>"
-_REGION = f"struct<id: string, leading: string, national_prefix: string, same: boolean, descs: map<string, {_DESC}>>"
 CODES = (
-    f"cc int, main_region string, regions array<{_REGION}>, national array<{_FORMAT}>, intl array<{_FORMAT}>, extn string, "
+    f"cc int, main_region string, national array<{_FORMAT}>, intl array<{_FORMAT}>, extn string, "
     "lengths map<string, array<int>>, locals map<string, array<int>>"
 )
 REGIONS = "region string, cc int, rank int, is_main boolean, is_non_geo boolean, national_prefix string, international_prefix string, leading_digits string"
@@ -37,19 +35,14 @@ def _format(f: NumberFormat) -> tuple:
     return (start(f.leading_digits[-1]) if f.leading_digits else None, whole(f.pattern), f.pattern, f.national_template, f.format)
 
 
-def _region(r: Record) -> tuple:
-    descs = {k: (whole(d.pattern) if d.pattern else None, list(d.lengths)) for k in KINDS if (d := r.desc(k)).pattern}
-    return (r.id, start(r.leading_digits), r.national_prefix, r.same_mobile_and_fixed_line_pattern, descs)
-
-
 def codes(spark: SparkSession, plan: Plan) -> DataFrame:
-    """One row for each calling code: its regions in order and its main region's formats."""
+    """One row for each calling code: its main region's formats and lengths."""
     rows = []
     for cc, ids in plan.by_code.items():
         main = plan.main_record(cc)
         lengths = {k: list(main.lengths(k)) for k in ("general", *TYPES)}
         local = {k: list(main.desc(k).local_lengths) for k in ("general", *TYPES)}
-        rows.append((cc, ids[0], [_region(plan.record_of(cc, i)) for i in ids], list(map(_format, main.formats)), list(map(_format, main.intl_formats or main.formats)), main.preferred_extn_prefix, lengths, local))
+        rows.append((cc, ids[0], list(map(_format, main.formats)), list(map(_format, main.intl_formats or main.formats)), main.preferred_extn_prefix, lengths, local))
     return spark.createDataFrame(rows, CODES)
 
 

@@ -39,6 +39,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/callgrid-{uuid.uuid4().hex}"
         self.n = 0
+        self.tables: dict[str, DataFrame] = {}
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write df once and return it as read back, so that its lineage ends here."""
@@ -47,16 +48,25 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.tables[path] = out
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later plan reads."""
         path = df._scratch_path
+        self.tables.pop(path, None)
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        for df in list(self.tables.values()):
+            if all(df is not t for t in tables):
+                self.drop(df)
+
+
 def flat_text(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts, offsets), without copying; a null has no bytes."""
     if isinstance(col, pa.ChunkedArray):

@@ -235,10 +235,12 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rank = rarity(docs)
-    keyed = Scratch(spark).keep(docs.select(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("th")), "keys")
+    scratch = Scratch(spark)
+    keyed = scratch.keep(docs.select(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("th")), "keys")
     blocks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = keyed.repartitionByRange(blocks, "known", "id", "th").groupBy(F.spark_partition_id()).agg(F.min(F.struct("known", "id", "th")).alias("k"))
     bounds = sorted({tuple(r["k"]) for r in ranges.collect()})
+    scratch.drop(keyed)
     low, bounds = bounds[:1], bounds[1:]
     last = len(bounds)
 

@@ -268,6 +268,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.drop("n_lines_removed", "n_words_removed")
     th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     gone = scratch.keep(deletions(docs.select(F.col(id_col).cast("long").alias("doc_id"), th.alias("th"), F.col(text_col).alias("text")), scratch, whole_runs, run_words, span_words), "gone")
+    scratch.keep_only(gone)
     # names that no caller's column has
     own = {k: f"__line_dedup_{k}" for k in ("hash", "id", "th", "gone")}
     gone = gone.select(F.col("doc_id").alias(own["id"]), F.col("th").alias(own["th"]), F.col("gone").alias(own["gone"]))

@@ -14,8 +14,8 @@ frequent, a total for each bucket and the counts of at most TOP words, those abo
 the tokens of all other words are joined with the table. Weights: each task trains the network,
 in numpy, on every token of its part of the corpus from one common start; the weights are
 then averaged over the tasks, by their tokens, as one aggregation, and the driver gets that
-one network. A task's part is a file split, so a lost task is trained again on the same
-rows and gives the same weights.
+one network. A task's part is one file split or several, so a lost task is trained again on the
+same rows and gives the same weights.
 
 Defined results: a null or empty text has no tokens and the score 0.0 (mean null); repeated
 rows are learned from, and scored, as often as they occur; a null doc_id is passed on; an
@@ -48,6 +48,8 @@ BATCH = 1024
 LIMIT = 80.0
 RATE = 0.1
 SEED = 7
+#: Tokens that a training task sees, on average, at least.
+PART_TOKENS = 1 << 21
 
 
 def start_weights() -> list[np.ndarray]:
@@ -80,9 +82,10 @@ def word_keys(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Vocabulary:
-    """The keys of the frequent words, most frequent first."""
+    """The keys of the frequent words, most frequent first, and the number of all tokens."""
 
-    def __init__(self, keys: np.ndarray):
+    def __init__(self, keys: np.ndarray, total: int = 0):
+        self.total = total
         self.order = np.argsort(keys)
         self.sorted = keys[self.order]
 
@@ -220,6 +223,7 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, Shares]:
     totals = np.zeros(ENDINGS)
     for r in counts.groupBy(F.col("h").bitwiseAND(ENDING_BITS).alias("e")).agg(F.sum("n").alias("n")).collect():
         totals[r["e"]] = r["n"]
+    total = int(totals.sum())
     np.subtract.at(totals, (frequent & np.uint64(ENDING_BITS)).astype(np.int64), [r["n"] for r in rows])
     least, words = None, 0
     for r in sorted(counts.groupBy(_level().alias("level")).count().collect(), reverse=True):
@@ -228,11 +232,13 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, Shares]:
             break
         least = r["level"]
     top = counts.where(_level() >= least if least is not None else F.lit(False)).toArrow()
-    return Vocabulary(frequent), Shares(top["h"].to_numpy().view(np.uint64), top["n"].to_numpy().astype(float), totals)
+    return Vocabulary(frequent, total), Shares(top["h"].to_numpy().view(np.uint64), top["n"].to_numpy().astype(float), totals)
 
 
 def train(docs: DataFrame, vocab: Vocabulary) -> list[np.ndarray]:
-    """The weights, averaged over the tasks by the tokens that each saw."""
+    """The weights, averaged over the tasks by the tokens that each saw. Small file splits are put
+    together, so that a task has about PART_TOKENS tokens or more to learn from."""
+    docs = docs.coalesce(max(1, vocab.total // PART_TOKENS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = Trainer()

@@ -181,10 +181,10 @@ def _is_linked(percent: int, common, n, m):
     return 100 * common >= percent * (n + m - common)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs; linked from percent on."""
     hashes = bands(percent) * ROWS
-    scratch = Scratch(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = scratch.keep(docs.mapInArrow(partial(_signed, hashes), "doc_id long, n_shingles long, digest binary, sig binary"), "signed")
     named = signed.where("doc_id is not null and digest is not null")
@@ -230,6 +230,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = named.join(twice, "doc_id").join(classes.select("digest", "id"), "digest").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
     links = first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more).union(same)
     joined = components(links, scratch)
+    for used in (hubs, members, wanted, sets, first, split):
+        scratch.drop(used)
 
     named = classes.select("digest", F.col("id").alias("node")).join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("of_class"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
@@ -271,7 +273,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of docs, all columns, without the near copies of an earlier document. Of rows
     that repeat a doc_id, one of those whose text has the least hash stays."""
     scratch = Scratch(docs.sparkSession)
-    judged = scratch.keep(near_duplicates(docs, id_col, text_col, percent).where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.min("kept").alias("kept"), F.count("*").alias("n")).where("n > 1 or not kept"), "judged")
+    judged = scratch.keep(near_duplicates(docs, id_col, text_col, percent, scratch).where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.min("kept").alias("kept"), F.count("*").alias("n")).where("n > 1 or not kept"), "judged")
+    scratch.keep_only(judged)
     again = judged.where("kept").select(id_col)
     once = docs.join(_bounded(judged.select(id_col)), id_col, "left_anti")
     th = "__minhash_th"

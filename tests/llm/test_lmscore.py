@@ -116,8 +116,9 @@ def test_gradient_equals_differences():
             assert abs((loss(up) - loss(down)) / 2e-4 - grad[i]) < 0.05 * abs(grad[i]) + 1e-4
 
 
-def test_weights_are_averaged_by_tokens(spark):
+def test_weights_are_averaged_by_tokens(spark, monkeypatch):
     """Training over several tasks equals plain loops over their rows, weighted by tokens."""
+    monkeypatch.setattr(lm, "PART_TOKENS", 1)
     rows = [(t,) for _, t in corpus(60)]
     df = spark.createDataFrame(rows, "text string").repartition(3).cache()
     vocab, _ = lm.vocabulary(lm.count_words(df))
@@ -140,3 +141,12 @@ def test_long_text_and_every_text_its_own_windows(spark):
     df = spark.createDataFrame([(1, long), (2, "w1 w2 w3"), (3, "w1 w2 w3")], "doc_id long, text string")
     got = {r.doc_id: r for r in lm.score_documents(df).collect()}
     assert got[1].n_tokens == 300_000 and abs(got[2].log_prob - got[3].log_prob) < 1e-4
+
+
+def test_small_splits_are_put_together(spark):
+    """The same rows over one or many partitions, in the same order, give the same network."""
+    rows = [(i, t) for i, t in corpus(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    many = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(9, "doc_id").sortWithinPartitions("doc_id")
+    scores = [{r.doc_id: r.log_prob for r in lm.score_documents(d).collect()} for d in (df, many)]
+    assert scores[0].keys() == scores[1].keys() and all(abs(scores[0][i] - scores[1][i]) < 0.02 * abs(scores[0][i]) for i in scores[0])

@@ -58,3 +58,23 @@ def test_stages_pass_other_columns_on(spark, clean):
     df = spark.createDataFrame([(1, one, [1, 2], "a"), (2, two, None, None)], "doc_id long, text string, th array<int>, _gone string")
     out = clean(df)
     assert out.columns == df.columns and {(r.doc_id, str(r.th), r._gone) for r in out.collect()} == {(1, "[1, 2]", "a"), (2, "None", None)}
+
+
+def test_scraps_repeated_rows_and_odd_rows(spark, tmp_path):
+    """What is left of a copy goes if it is too short; one row of a doc_id is packed; rows without a
+    doc_id, very long texts and other columns pass through."""
+    line = lambda a, n: " ".join(f"v{a}x{i}." for i in range(n))
+    base = [line(k, 40) for k in range(6)]
+    long = "\n".join(line(100 + k, 50) for k in range(4_000))
+    rows = [(1, "\n".join(base)), (2, "\n".join([*base[:3], line(50, 30), *base[3:]])), (3, "\n".join([*base, line(60, 70)])), (4, line(70, 80)), (4, line(70, 80)), (None, line(80, 90)), (5, None), (6, ""), (7, long), (1, line(90, 60))]
+    docs = spark.createDataFrame([(*x, "a", [1]) for x in rows], "doc_id long, text string, kept string, n_lines_removed array<int>")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == ["doc_id", "text", "kept", "n_lines_removed"], name
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    # 2 kept 30 words of its own, 3 kept 70; the two texts of 1 are one document
+    got = sorted((r.doc_id or 0, len(r.text.split())) for r in docs.collect())
+    assert [i for i, _ in got] == [0, 1, 3, 4, 7] and dict(got)[3] == 70 and dict(got)[7] == 200_000
+    packed = corpus_pipeline.pack(spark, docs, "").collect()
+    assert {r.doc_id for r in packed} == {None, 1, 3, 4, 7} and len({(r.sequence_id, r.offset) for r in packed}) == len(packed)

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from callgrid.functions import compiled
+from callgrid.functions import native as N
 from callgrid.kernel import text
 from callgrid.kernel.phone import Phone, PhoneError, Phones
 from callgrid.plans.loader import Plan, default_plan
@@ -198,20 +200,34 @@ def format_by_pattern(phone: Column, kind: str, formats, **how) -> Column:
     return of_phone(lambda o, p: o.format_by_pattern(p, kind, formats), "string", **how)(phone)
 
 
-def number_type(phone: Column, **how) -> Column:
-    return of_phone(lambda o, p: o.type(p), "string", **how)(phone)
+def _native(phone: Column, plan: str | None, make: Callable, otherwise: Callable) -> Column:
+    """make(cc, nsn, plan) in the JVM, null where there is no number; with plans that are too large
+    for that, otherwise()."""
+    loaded = default_plan() if plan is None else Plan.load(plan)
+    if not compiled.fits(loaded):
+        return otherwise()
+    cc, number = phone["country_code"], phone["national_number"]
+    return F.when(cc.isNotNull() & number.isNotNull(), make(cc, N.nsn(number, phone["italian_leading_zero"], phone["number_of_leading_zeros"]), loaded))
 
 
-def region(phone: Column, **how) -> Column:
-    return of_phone(lambda o, p: o.region(p), "string", **how)(phone)
+def number_type(phone: Column, plan: str | None = None) -> Column:
+    make = lambda cc, nsn, p: F.coalesce(compiled.classified(cc, nsn, p)["type"], F.lit("UNKNOWN"))
+    return _native(phone, plan, make, lambda: of_phone(lambda o, p: o.type(p), "string", plan=plan)(phone))
 
 
-def is_valid(phone: Column, **how) -> Column:
-    return of_phone(lambda o, p: o.is_valid(p), "boolean", **how)(phone)
+def region(phone: Column, plan: str | None = None) -> Column:
+    make = lambda cc, nsn, p: F.coalesce(compiled.classified(cc, nsn, p)["region"], F.lit("ZZ"))
+    return _native(phone, plan, make, lambda: of_phone(lambda o, p: o.region(p), "string", plan=plan)(phone))
 
 
-def is_valid_for_region(phone: Column, region: Column, **how) -> Column:
-    return of_phone(lambda o, p, r: o.is_valid_for_region(p, r), "boolean", region, **how)(phone)
+def is_valid(phone: Column, plan: str | None = None) -> Column:
+    make = lambda cc, nsn, p: F.coalesce(compiled.classified(cc, nsn, p)["type"] != "UNKNOWN", F.lit(False))
+    return _native(phone, plan, make, lambda: of_phone(lambda o, p: o.is_valid(p), "boolean", plan=plan)(phone))
+
+
+def is_valid_for_region(phone: Column, region: Column, plan: str | None = None) -> Column:
+    make = lambda cc, nsn, p: compiled.valid_in(cc, nsn, region, p)
+    return _native(phone, plan, make, lambda: of_phone(lambda o, p, r: o.is_valid_for_region(p, r), "boolean", region, plan=plan)(phone))
 
 
 def area_code_length(phone: Column, **how) -> Column:

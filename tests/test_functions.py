@@ -95,6 +95,17 @@ def test_possible_by_type(spark):
         assert [r[f"reason_{k.lower()}"] for k in kinds] == [P.possible(_phone(r), k) for k in kinds], r
 
 
+@pytest.mark.parametrize("most", [compiled.MOST_PATTERNS, 0])
+def test_classes_of_structs(spark, monkeypatch, most):
+    monkeypatch.setattr(compiled, "MOST_PATTERNS", most)
+    got = O.phones(_numbers(spark)).withColumn("phone", F.when(F.col("key") % 50 != 7, F.col("phone")))
+    n = F.col("phone")
+    for r in got.select("*", V.number_type(n).alias("t"), V.region(n).alias("g"), V.is_valid(n).alias("v"), V.is_valid_for_region(n, F.lit("GB")).alias("gb")).collect():
+        p = _phone(r)
+        want = (None,) * 4 if r.phone is None else (P.type(p), P.region(p), P.is_valid(p), P.is_valid_for_region(p, "GB"))
+        assert (r.t, r.g, r.v, r.gb) == want, r
+
+
 def test_vectorized_parse_and_formats(spark):
     df = synthetic.written(_numbers(spark), "key").limit(600)
     got = O.parse_column(df, "raw", "region", keep_raw=True).withColumn("p", F.col("parsed.phone"))

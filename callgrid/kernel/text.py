@@ -42,6 +42,7 @@ def extension_pattern(parsing: bool) -> str:
     return "|".join(kinds)
 
 
+# Fixed values of the number syntax: a number, dialling prefixes, phone contexts, templates.
 NUMBER_PATTERN = rf"[{PLUS}]*(?:[{PUNCTUATION}*]*\p{{Nd}}){{3,}}[{PUNCTUATION}*\p{{Nd}}a-z]*|\p{{Nd}}{{2}}"
 VIABLE = regex.compile(rf"(?i)(?:{NUMBER_PATTERN})(?:{extension_pattern(True)})?")
 EXTENSION = regex.compile(rf"(?i)(?:{extension_pattern(True)})\Z")

@@ -91,13 +91,13 @@ def normalize_diallable_chars_only(spark: SparkSession, sf_dir: str) -> DataFram
     return _texts(spark, sf_dir).select("key", N.diallable_only(F.col("raw")).alias("diallable"))
 
 
-@query(f"SELECT p_partkey, translate(p_name, '{T.KEYPAD_LETTERS + T.KEYPAD_LETTERS.lower()}', '{T.KEYPAD_DIGITS * 2}') AS converted FROM part")
+@query(f"SELECT p_partkey, translate(p_name, '{Q.KEYPAD[0]}', '{Q.KEYPAD[1]}') AS converted FROM part")
 def convert_alpha_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part").select("p_partkey", N.keypad(F.col("p_name")).alias("converted"))
 
 
 @query(f"""WITH {_RAW} SELECT key, CASE WHEN length(regexp_replace(raw, '[^A-Za-z]', '', 'g')) >= 3
-  THEN regexp_replace(translate(raw, '{T.KEYPAD_LETTERS + T.KEYPAD_LETTERS.lower()}', '{T.KEYPAD_DIGITS * 2}'), '[^0-9]', '', 'g')
+  THEN regexp_replace(translate(raw, '{Q.KEYPAD[0]}', '{Q.KEYPAD[1]}'), '[^0-9]', '', 'g')
   ELSE regexp_replace(translate(raw, '０１２３４５６７８９', '0123456789'), '[^0-9]', '', 'g') END AS normalized FROM written""")
 def normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("key", N.normalize(F.col("raw")).alias("normalized"))
@@ -119,10 +119,7 @@ def trim_unwanted_end_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("key", N.trim_end(F.col("raw")).alias("trimmed"))
 
 
-_VIABLE = Q.quoted(f"(?i)(?:{T.NUMBER_PATTERN})(?:{T.extension_pattern(True)})?")
-
-
-@query(f"WITH {_RAW} SELECT key, strlen(raw) >= 2 AND regexp_full_match(raw, {_VIABLE}) AS viable FROM written")
+@query(f"WITH {_RAW} SELECT key, strlen(raw) >= 2 AND regexp_full_match(raw, {Q.quoted(Q.VIABLE)}) AS viable FROM written")
 def is_viable_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("key", N.is_viable(F.col("raw")).alias("viable"))
 
@@ -135,7 +132,7 @@ def starts_and_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_RAW}, c AS (SELECT key, 'tel:' || coalesce(raw, '') || CASE key % 4 WHEN 0 THEN ';phone-context=+64-3' WHEN 1 THEN ';phone-context=www.example.com;a=b' WHEN 2 THEN ';phone-context=+' ELSE '' END AS t FROM written),
 x AS (SELECT key, CASE WHEN contains(t, ';phone-context=') THEN string_split(string_split(t, ';phone-context=')[2], ';')[1] END AS context FROM c)
-SELECT key, context, regexp_full_match(context, {Q.quoted(T.GLOBAL_CONTEXT.pattern)}) OR regexp_full_match(context, {Q.quoted(T.DOMAIN_CONTEXT.pattern)}) AS valid FROM x""")
+SELECT key, context, regexp_full_match(context, {Q.quoted(Q.CONTEXTS[0])}) OR regexp_full_match(context, {Q.quoted(Q.CONTEXTS[1])}) AS valid FROM x""")
 def phone_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.get(F.array(*map(F.lit, (";phone-context=+64-3", ";phone-context=www.example.com;a=b", ";phone-context=+", ""))), F.pmod(F.col("key"), F.lit(4)).cast("int"))
     t = _texts(spark, sf_dir).select("key", N.phone_context(F.concat(F.lit("tel:"), F.coalesce("raw", F.lit("")), tail)).alias("context"))

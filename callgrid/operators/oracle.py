@@ -3,7 +3,6 @@ expressions built from VALUES."""
 
 from __future__ import annotations
 
-from callgrid.kernel import text as T
 from callgrid.plans import default_plan
 from callgrid.plans.loader import SPECIAL_TYPES, TYPES
 from callgrid.plans.tables import KINDS
@@ -12,6 +11,26 @@ from callgrid.plans.tables import KINDS
 CARRIER = "15"
 
 
+# Fixed values, written out for the oracle alone: the syntax of a number, extensions, the keypad.
+_MARKS = r"-x\x{2010}-\x{2015}\x{2212}\x{30fc}\x{ff0d}-\x{ff0f} \x{a0}\x{ad}\x{200b}\x{2060}\x{3000}()\x{ff08}\x{ff09}\x{ff3b}\x{ff3d}.\[\]/~\x{2053}\x{223c}"
+_NUMBER = rf"(?:[+\x{{ff0b}}]*(?:[{_MARKS}*]*\p{{Nd}}){{3,}}[{_MARKS}*\p{{Nd}}a-z]*|\p{{Nd}}{{2}})"
+_EXTENSIONS = (
+    r";ext=(\p{Nd}{1,20})",
+    r"[ \x{a0}\t,]*(?:e?xt(?:ensi(?:o\x{301}?|\x{f3}))?n?|\x{ff45}?\x{ff58}\x{ff54}\x{ff4e}?|доб|anexo)[:.\x{ff0e}]?[ \x{a0}\t,-]*(\p{Nd}{1,20})#?",
+    r"[ \x{a0}\t,]*(?:[x\x{ff58}#\x{ff03}~\x{ff5e}]|int|\x{ff49}\x{ff4e}\x{ff54})[:.\x{ff0e}]?[ \x{a0}\t,-]*(\p{Nd}{1,9})#?",
+    r"[- ]+(\p{Nd}{1,6})#",
+    r"[ \x{a0}\t]*(?:,{2}|;)[:.\x{ff0e}]?[ \x{a0}\t,-]*(\p{Nd}{1,15})#?",
+    r"[ \x{a0}\t]*,+[:.\x{ff0e}]?[ \x{a0}\t,-]*(\p{Nd}{1,9})#?",
+)
+_KEYS = ("abcdefghijklmnopqrstuvwxyz", "22233344455566677778889999")
+#: A text that is a viable number.
+VIABLE = f"(?i){_NUMBER}(?:{'|'.join(_EXTENSIONS)})?"
+#: Values of a phone context: a number with a plus, or a domain.
+CONTEXTS = (r"\+[-.()\p{Nd}]*\p{Nd}[-.()\p{Nd}]*", r"([A-Za-z\p{Nd}]+(-*[A-Za-z\p{Nd}])*\.)*[A-Za-z]+(-*[A-Za-z\p{Nd}])*\.?")
+#: Letters of a keypad in both cases, and their digits.
+KEYPAD = (_KEYS[0].upper() + _KEYS[0], _KEYS[1] * 2)
+
+
 def quoted(s) -> str:
     if s is None:
         return "NULL"
@@ -119,7 +138,7 @@ def formatted(numbers: str) -> str:
     pick = lambda k: f"(SELECT key, arg_min(struct_pack(p := pattern, n := national, f := plain, c := fmt.carrier), place) AS x{k} FROM {numbers} n JOIN fmt ON fmt.cc = n.cc AND kind = '{k}' AND {fits} GROUP BY key)"
     ext = "CASE WHEN coalesce(ext, '') <> '' THEN {} || ext ELSE '' END"
     label = ext.format("coalesce(fmt.extn, ' ext. ')")
-    punct = quoted(f"[{T.PUNCTUATION}]+")
+    punct = quoted(f"[{_MARKS}]+")
     return f"""fn AS {pick('N')}, fi AS {pick('I')},
 chosen AS (SELECT n.*, fmt.cc IS NOT NULL AS known, xN.p AS national_pattern, coalesce(regexp_replace(nsn, xN.p, xN.c), nsn) AS by_carrier, coalesce(regexp_replace(nsn, xN.p, xN.f), nsn) AS bare_national, coalesce(regexp_replace(nsn, xN.p, xN.n), nsn) AS nat, coalesce(regexp_replace(nsn, xI.p, xI.f), nsn) AS int_, {label} AS label
   FROM {numbers} n LEFT JOIN fn USING (key) LEFT JOIN fi USING (key) LEFT JOIN fmt ON fmt.cc = n.cc AND fmt.kind = '-'),
@@ -136,20 +155,6 @@ areas AS (SELECT *, CASE WHEN number_region IN ('ZZ', '001') OR (national_prefix
   OR NOT (number_type IN ('FIXED_LINE', 'FIXED_LINE_OR_MOBILE') OR (number_type = 'MOBILE' AND cc IN (52, 54, 55, 62, 86))) THEN 0 ELSE ndc_length END AS area_code_length FROM lengths)"""
 
 
-# Fixed values, written out for the oracle alone: the syntax of a number, extensions, the keypad.
-_MARKS = r"-x\x{2010}-\x{2015}\x{2212}\x{30fc}\x{ff0d}-\x{ff0f} \x{a0}\x{ad}\x{200b}\x{2060}\x{3000}()\x{ff08}\x{ff09}\x{ff3b}\x{ff3d}.\[\]/~\x{2053}\x{223c}"
-_NUMBER = rf"(?:[+\x{{ff0b}}]*(?:[{_MARKS}*]*\p{{Nd}}){{3,}}[{_MARKS}*\p{{Nd}}a-z]*|\p{{Nd}}{{2}})"
-_EXTENSIONS = (
-    r";ext=(\p{Nd}{1,20})",
-    r"[ \x{a0}\t,]*(?:e?xt(?:ensi(?:o\x{301}?|\x{f3}))?n?|\x{ff45}?\x{ff58}\x{ff54}\x{ff4e}?|доб|anexo)[:.\x{ff0e}]?[ \x{a0}\t,-]*(\p{Nd}{1,20})#?",
-    r"[ \x{a0}\t,]*(?:[x\x{ff58}#\x{ff03}~\x{ff5e}]|int|\x{ff49}\x{ff4e}\x{ff54})[:.\x{ff0e}]?[ \x{a0}\t,-]*(\p{Nd}{1,9})#?",
-    r"[- ]+(\p{Nd}{1,6})#",
-    r"[ \x{a0}\t]*(?:,{2}|;)[:.\x{ff0e}]?[ \x{a0}\t,-]*(\p{Nd}{1,15})#?",
-    r"[ \x{a0}\t]*,+[:.\x{ff0e}]?[ \x{a0}\t,-]*(\p{Nd}{1,9})#?",
-)
-_KEYS = ("abcdefghijklmnopqrstuvwxyz", "22233344455566677778889999")
-
-
 def extensions(source: str) -> str:
     """cuts: the texts s of `source` without the extension at their ends."""
     extension = "|".join(_EXTENSIONS)

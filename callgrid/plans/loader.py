@@ -1,9 +1,10 @@
 """Loading a dial plan from JSON and preparing it for use.
 
 A plan is a list of records, one for each region or non-geographic calling code ("001").
-Loading checks every expression once, so that no row can fail on a bad plan later, and
-works out what rows would otherwise repeat: the regions of a calling code in order, the
-lengths a type inherits, and for every number format the finished national template.
+The packaged plan.json is fixed data: a small test plan, as rows. Loading checks every
+expression once, so that no row can fail on a bad plan later, and works out what rows would
+otherwise repeat: the regions of a calling code in order, the lengths a type inherits, and for
+every number format the finished national template.
 """
 
 from __future__ import annotations

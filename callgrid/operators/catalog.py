@@ -434,7 +434,7 @@ def original_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("key", V.format_original(F.col("p"), caller).alias("original"))
 
 
-@query()
+@query(f"WITH {_DIALLED}, {Q.lettered()} SELECT key, abroad_letters FROM lettered")
 def formats_keeping_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, caller = _phones(spark, sf_dir)
     return p.select("key", V.format_abroad_keeping_letters(F.col("p"), caller).alias("abroad_letters"))

@@ -4,7 +4,7 @@ expressions built from VALUES."""
 from __future__ import annotations
 
 from callgrid.plans import default_plan
-from callgrid.plans.loader import SPECIAL_TYPES, TYPES
+from callgrid.plans.loader import SPECIAL_TYPES, TYPES, with_rule
 from callgrid.plans.tables import KINDS
 
 #: The carrier that the queries dial with.
@@ -267,6 +267,22 @@ worded AS (SELECT m.*, CASE origin WHEN 'FROM_NUMBER_WITH_PLUS_SIGN' THEN intern
 original AS (SELECT *, CASE WHEN national_pattern IS NULL OR (w <> '' AND {diallable.format('w')} <> {diallable.format('raw')}) THEN raw ELSE w END AS original FROM worded)"""
 
 
+def lettered() -> str:
+    """lettered: each of `dialling` as dialled from its caller, with its letters; needs fn, fmt, mp."""
+    plan, rows = default_plan(), []
+    for i, idd in (("US", "011"), ("AU", "0011"), ("MX", "00"), ("UZ", "810")):
+        rows.append((i, plan.regions[i].country_code, idd))
+    rules = {(c, f.pattern, f.national_template): re2(with_rule("$1$2", f.national_prefix_rule) if f.national_prefix_rule else "$1$2") for c in (61, 52, 998) for f in plan.main_record(c).formats}
+    ruled = values("letter_rules", "cc, p, n, t", [(c, p, re2(n), t) for (c, p, n), t in rules.items()])
+    kept = "regexp_replace(upper(raw), '[^A-Z0-9/ .-]', '', 'g')"
+    cut = f"CASE WHEN length(nsn) > 3 THEN substr({kept}, greatest(1, strpos({kept}, left(nsn, 3)))) ELSE {kept} END"
+    return f"""{values("from_here", "caller, here, idd", rows)}, {ruled},
+g AS (SELECT f.*, {cut} AS g, here, h.idd AS way FROM formatted f LEFT JOIN from_here h USING (caller)),
+far AS (SELECT key, CASE WHEN here IS NULL THEN '+' || cc || ' ' || g ELSE way || ' ' || cc || ' ' || g END AS s FROM g), {extensions('far')},
+lettered AS (SELECT g.key, CASE WHEN g.cc = 1 AND here = 1 THEN '1 ' || g WHEN g.cc <> 1 AND here = g.cc THEN CASE WHEN t IS NULL THEN g ELSE regexp_replace(g, '([0-9]+)(.*)', t) END ELSE number || label END AS abroad_letters
+  FROM g JOIN cuts ON cuts.key = g.key LEFT JOIN fn ON fn.key = g.key LEFT JOIN letter_rules r ON r.cc = g.cc AND r.p = fn.xN.p AND r.n = fn.xN.n)"""
+
+
 def types() -> str:
     """types: one row for each record and type."""
     rows = [(r.id, r.country_code, k.upper(), r.desc(k).pattern, r.desc(k).lengths, r.desc(k).example) for r in default_plan().records for k in TYPES]

@@ -14,7 +14,7 @@ names no decoder.
 Defined results: a null or empty text has no ids and decodes to an empty text; repeated
 rows give repeated rows; a null doc_id is passed on; an empty table gives an empty result;
 other columns are not read. Memory is bounded by about 1 MB of text at a time (or one
-longer text) and a table of at most 400,000 words for each worker.
+longer text) and a table of about 250,000 words for each worker.
 """
 
 from __future__ import annotations

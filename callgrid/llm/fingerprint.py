@@ -263,7 +263,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
         ids: list = []
         texts: list[str] = []
         size, done = 0, False
-        for batch in batches:
+        for batch in (whole.slice(i, j - i) for whole in batches for i, j in slices(flat_text(whole["text"])[1])):
             for v, t, guest in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["guest"].to_pylist(), strict=True):
                 if done:
                     continue

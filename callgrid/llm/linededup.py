@@ -279,11 +279,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = docs.schema.add("n_lines_removed", "long").add("n_words_removed", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = batch.columns
-            new = [_without(t, g) for t, g in zip(cells[at].to_pylist(), cells[-1].to_pylist(), strict=True)]
-            cells[at] = pa.array([x[0] for x in new], pa.string())
-            yield pa.RecordBatch.from_arrays([*cells[:-1], *(pa.array([x[k] for x in new], pa.int64()) for k in (1, 2))], names=[*names, "n_lines_removed", "n_words_removed"])
+        for whole in batches:
+            # about 1 MB of text at a time
+            for i, j in slices(flat_text(whole.column(at))[1]):
+                batch = whole.slice(i, j - i)
+                cells = batch.columns
+                new = [_without(t, g) for t, g in zip(cells[at].to_pylist(), cells[-1].to_pylist(), strict=True)]
+                cells[at] = pa.array([x[0] for x in new], pa.string())
+                yield pa.RecordBatch.from_arrays([*cells[:-1], *(pa.array([x[k] for x in new], pa.int64()) for k in (1, 2))], names=[*names, "n_lines_removed", "n_words_removed"])
 
     return found.mapInArrow(run, schema)
 

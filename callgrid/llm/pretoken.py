@@ -118,9 +118,9 @@ class WordIds:
     code points in all, beside those of one call; then it starts anew, which costs time only.
     """
 
-    MOST_POINTS = 1 << 23
+    MOST_POINTS = 1 << 22
 
-    def __init__(self, encode, most: int = 400_000):
+    def __init__(self, encode, most: int = 250_000):
         self.encode, self.most = encode, most
         self.clear()
 

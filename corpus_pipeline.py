@@ -26,29 +26,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from callgrid.llm import linededup, minhash, packing, quality, secrets
-from callgrid.llm.common import Scratch, load
+from callgrid.llm.common import Scratch, load, small_batches
 
 #: The packing needs a tokenizer, which SQL can't express; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return quality.clean_documents(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return linededup.clean_documents(docs, least_words=quality.MIN_WORDS)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return minhash.keep_one_of_each(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return secrets.redact_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

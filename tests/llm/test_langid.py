@@ -93,6 +93,14 @@ def test_many_labels(spark, monkeypatch):
         langid.predict_documents(df)
 
 
+def test_ties_and_repeated_rows(spark):
+    """Labels that were learned from the same texts tie: the first in order wins, for every row alike."""
+    rows = [(i, "kamo ritu moka", x) for i in range(60) for x in ("bb", "aa")]
+    got = langid.predict_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == 120 and {(r.lang_pred, r.score) for r in got} == {("aa", 1.0)}
+    assert len({r.held_out for r in got}) == 2 and all(len({r.held_out for r in got if r.doc_id == i}) == 1 for i in range(60))
+
+
 def test_long_text(spark):
     df = spark.createDataFrame([*corpus(60), (500, "kamo ritu " * 150_000, None)], "doc_id long, text string, lang string")
     assert {r.doc_id: r for r in langid.predict_documents(df).collect()}[500].lang_pred == "aa"

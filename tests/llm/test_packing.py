@@ -59,6 +59,22 @@ def test_dominance_never_costs_a_sequence():
         assert sum(n for n, _ in packing.plan({s: sizes.count(s) for s in sizes}, c)) <= best(sizes, c) + 1
 
 
+def test_very_long_text_and_equal_rows(spark):
+    """A text of hundreds of pieces, and many equal rows that tie in everything."""
+    long = " ".join(f"w{i % 977}é" for i in range(150_000))
+    rows = [(1, long), *[(2, "the same words")] * 3_000, *[(k, "the same words") for k in range(3, 500)]]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PATH).collect()
+    ids = np.array([*Tokenizer.from_file(PATH).encode(long, add_special_tokens=False).ids, 0], "<u4")
+    pieces = sorted((x.piece, x.start, x.length, x.ids_crc32) for x in got if x.doc_id == 1)
+    assert len(pieces) > 100 and sum(x[2] for x in pieces) == len(ids) and all(x[2] == 2048 for x in pieces[1:])
+    assert all(c == zlib.crc32(ids[s : s + n].tobytes()) for _, s, n, c in pieces)
+    assert len(got) == len(pieces) + 3_497 and len({(x.sequence_id, x.offset) for x in got}) == len(got)
+    bins = defaultdict(int)
+    for x in got:
+        bins[x.sequence_id] += x.length
+    assert max(bins.values()) <= 2048 and len(bins) <= -(-sum(bins.values()) // 2048) + 1
+
+
 def test_documents(spark):
     r = random.Random(4)
     rows = [(i, " ".join(r.choice(["the", "of", "zebra", "été", "\n"]) for _ in range(r.choice([0, 3, 300, 1500, 5000])))) for i in range(60)]
